@@ -5,12 +5,14 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_toxicity": "op1_toxicity",
     "op3_mix_sources": "op3_mix",
     "op4_chat_format": "op4_chat",
     "op5_exact_dedup": "op5_dedup",
     "op6_shard": "op6_shard",
     "op7_exact_topk": "op7_topk",
     "op8_byte_bpe": "op8_bpe",
+    "op10_pii": "op10_pii",
 }
 
 
