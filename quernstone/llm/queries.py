@@ -6,6 +6,7 @@ from importlib import import_module
 
 _MODULES = {
     "op1_toxicity": "op1_toxicity",
+    "op2_ngram_jaccard": "op2_jaccard",
     "op3_mix_sources": "op3_mix",
     "op4_chat_format": "op4_chat",
     "op5_exact_dedup": "op5_dedup",
