@@ -13,6 +13,7 @@ _MODULES = {
     "op6_shard": "op6_shard",
     "op7_exact_topk": "op7_topk",
     "op8_byte_bpe": "op8_bpe",
+    "op9_warc": "op9_warc",
     "op10_pii": "op10_pii",
 }
 
