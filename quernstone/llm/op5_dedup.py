@@ -96,10 +96,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns. Only ids move: the rows to drop (or their ids, if small, broadcast)
     are anti-joined; rows whose doc_id repeats are told apart by their text's digest."""
     settled = cut(settle(digests(docs)).select("doc_id", "digest", "kept"))
-    ids = settled.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("any"))
-    drop = ids.where("not any and doc_id is not null").select("doc_id")
-    again = ids.where("n > 1 or doc_id is null").select("doc_id")
-    sizes = ids.agg(F.count_if("not any and doc_id is not null"), F.count_if("n > 1 or doc_id is null")).first()
+    ids = settled.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("stays"))
+    gone, repeated = F.expr("not stays and doc_id is not null"), F.expr("n > 1 or doc_id is null")
+    drop, again = ids.where(gone).select("doc_id"), ids.where(repeated).select("doc_id")
+    sizes = ids.agg(F.count_if(gone), F.count_if(repeated)).first()
     single = docs.join(may_broadcast(drop, sizes[0], 16), "doc_id", "left_anti") if sizes[0] else docs
     if not sizes[1]:
         return single
