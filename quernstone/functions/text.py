@@ -114,6 +114,8 @@ def uncompress(blob: bytes | None) -> str | None:
     if blob is None:
         return None
     blob = bytes(blob)
+    if blob == compress(""):
+        return ""
     at = _stream(blob)
     try:
         return (zlib.decompress(blob[at:]) if at else blob).decode("utf-8", "replace")

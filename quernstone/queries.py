@@ -607,7 +607,7 @@ _streams: set[str] = set()
 @query
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of updates of one of two shards into a table of documents."""
-    to = index_stream.DocumentTable(spark)
+    to = index_stream.DocumentTable(spark, by_order=True)
     index_stream.follow(updates_of(_event_stream(spark, sf_dir)), to, "event_id", shard=(0, 2)).awaitTermination()
     return to.read().select("doc_id", "title", "alive")
 

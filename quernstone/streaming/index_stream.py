@@ -15,21 +15,26 @@ from quernstone.session import shared_dir
 
 class DocumentTable:
     """Documents as versions in Parquet: each batch of a stream writes the rows that it changes under its own number, and a read takes each document's
-    row of the highest number. A batch that is repeated writes the same folder again, so a restart changes nothing. compact() folds versions into one."""
+    row of the highest number: the last to arrive. With by_order it is the row of the highest order, whenever it arrived. A batch that is repeated writes the
+    same folder again, so a restart changes nothing. compact() folds versions into one."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, key: tuple[str, ...] = ("space", "doc_id")):
-        self.spark, self.key = spark, key
+    def __init__(self, spark: SparkSession, path: str | None = None, key: tuple[str, ...] = ("space", "doc_id"), by_order: bool = False):
+        self.spark, self.key, self.by_order = spark, key, by_order
         self.path = path or f"{shared_dir(spark).rstrip('/')}/docs-{uuid.uuid4().hex}"
 
     def write(self, updates: DataFrame, batch: int, order: str) -> None:
-        latest(updates, order, key=self.key).write.mode("overwrite").parquet(f"{self.path}/data/batch={batch}")
+        latest(updates.withColumn("version", F.col(order).cast("long")), order, key=self.key).write.mode("overwrite").parquet(f"{self.path}/data/batch={batch}")
 
     def read(self) -> DataFrame:
-        return latest(self.spark.read.parquet(f"{self.path}/data"), "batch", key=self.key)
+        return self._versions().drop("version")
+
+    def _versions(self) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.path}/data").withColumn("n", F.col("version"))
+        return latest(rows, *(("n", "batch") if self.by_order else ("batch", "n")), key=self.key)
 
     def compact(self, batch: int) -> DocumentTable:
-        other = DocumentTable(self.spark, key=self.key)
-        self.read().write.mode("overwrite").parquet(f"{other.path}/data/batch={batch}")
+        other = DocumentTable(self.spark, key=self.key, by_order=self.by_order)
+        self._versions().write.mode("overwrite").parquet(f"{other.path}/data/batch={batch}")
         return other
 
 
