@@ -79,6 +79,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _brackets = str.maketrans("", "", "()[]{}<>.,;:'\"")
 _cues = {"tel": "TEL", "telephone": "TEL", "phone": "TEL", "mobile": "TEL", "call": "TEL", "fax": "TEL", "card": "CARD", "visa": "CARD", "mastercard": "CARD", "email": "MAIL", "mail": "MAIL", "e-mail": "MAIL", "ip": "IP", "host": "IP"}
+_ends = frozenset("com org net edu gov io info co uk de fr es eu".split())
 
 
 def plain(word: str) -> bool:
@@ -87,12 +88,14 @@ def plain(word: str) -> bool:
 
 
 def features(word: str) -> tuple[str, ...]:
+    if len(word) > 80:
+        return ("endless",)
     bare = word.lower().translate(_brackets)
     cue = _cues.get(bare, "")
     if bare in ("at", "dot") or bare == "@":
         return ("SEP" + bare, "SEP" + bare + ("[" if word != bare else ""))
     if plain(word):
-        return ("PLAIN", "cue" + cue) if cue else ("PLAIN",)
+        return ("PLAIN", "cue" + cue) if cue else ("PLAIN", "end") if bare in _ends else ("PLAIN",)
     shape = re.sub(r"[a-z]+", "x", re.sub(r"[0-9]", "d", re.sub(r"[^\W\d_]", "x", word.lower().strip(".,;:!?"))))
     n = shape.count("d")
     short = re.sub(r"d+", "d", shape)
@@ -201,7 +204,7 @@ def labelled(n: int = 350, seed: int = 11) -> list[tuple[list[str], list[int]]]:
         return pick([f"({d(3)})", f"{d(3)}-{d(4)}"], [f"{d(3)}-{d(3)}-{d(4)}"], [f"{d(3)}.{d(3)}.{d(4)}"], [f"0{d(2)}-{d(7)}"], [f"1-{d(3)}-{d(3)}-{d(4)}"], [f"({d(3)}){d(3)}-{d(4)}"], [f"00{d(2)}", d(3), d(7)])
 
     def noise():
-        return pick([d(8)], ["version", f"{d(1)}.{d(1)}"], [f"{d(1)}."], [f"20{d(2)}-{pick('01', '12')}-{d(2)}"], [d(4)], [d(16)], [f"AKIA{d(2)}{w().upper()}{d(3)}"], [f"password={d(4)}{w()}{d(5)}"], ["token", "=", f'"{d(5)}{w()}{d(6)}"'],
+        return pick([d(8)], ["version", f"{d(1)}.{d(1)}"], [f"{d(1)}."], [w(), "at", w(), "dot", w()], [w(), "at", "the", "dot"], [f"{pick('19', '20')}{d(2)}{pick('-', '-', '.')}{pick('01', '12')}-{d(2)}"], [f"20{d(2)}-{d(2)}-{d(2)}"], [d(4)], [d(16)], [f"AKIA{d(2)}{w().upper()}{d(3)}"], [f"password={d(4)}{w()}{d(5)}"], ["token", "=", f'"{d(5)}{w()}{d(6)}"'],
                     [f"({w()})"], [f"[{d(1)}]"], [f"{d(2)}:{d(2)}"], [f"{d(2)}%"], ["at", w(), w()], ["dot"], [f"{d(1)}.{d(1)}.{d(1)}"], [f"({d(4)})"], [w(), "at", w()], [f"{d(3)}-{d(2)}"], [f"+1 ({d(3)}) {d(3)}-{d(4)}".split()][0], [f"{w()}@{w()}.com"], [f"{d(2)}.{d(3)}.{d(2)}.{d(3)}"], [f"https://{w()}.com/{d(3)}"], [f"{d(3)},{d(3)}"], [f"${d(2)}.{d(2)}"], [f"x{d(2)}", f"[{w()}]"], [f"{w()}_{d(2)}"], [f"{d(4)}", f"{d(4)}", f"{d(4)}", f"{d(4)}"])
 
     made = []
@@ -308,17 +311,24 @@ def default_model() -> Model:
 _trim_left, _trim_right = "(<\"'[{,;:", ")>\"']},;:.!?"
 
 
+_at = r"(?:\s+(?:at|AT)\s+|\s*[\[({]\s*(?:at|AT|@)\s*[\])}]\s*|\s*@\s*)"
+_dot = r"(?:\s+(?:dot|DOT|Dot)\s+|\s*[\[({]\s*(?:dot|DOT|Dot|\.)\s*[\])}]\s*|\.)"
+_obfuscated = re.compile(rf"[A-Za-z0-9._%+-]+{_at}[A-Za-z0-9-]+(?:{_dot}([A-Za-z0-9-]+))+")
+
+
 def _holds(kind: int, s: str) -> bool:
     """The test of an added span."""
     d = _digits(s)
     if kind == 0:
-        return bool(re.fullmatch(r"[^\s@]+?\s*[\[({]?\s*(?:at|AT|@)\s*[\])}]?\s*\S+?(?:\s*[\[({]?\s*(?:dot|DOT|\.)\s*[\])}]?\s*[A-Za-z0-9-]+)+", s, re.S))
+        m = _obfuscated.fullmatch(s)
+        # without any bracket or @ it might be prose: then it has to end like a domain
+        return bool(m) and (bool(re.search(r"[@\[({]", s)) or m.group(1).lower() in _ends)
     if kind == 1:
         parts = re.findall(r"[0-9]+", s)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
         return 12 <= len(d) <= 19 and luhn(d)
-    return 7 <= len(d) <= 15 and not re.search(r"[A-Za-z]", s)
+    return 7 <= len(d) <= 15 and not re.search(r"[A-Za-z]|^(19|20)[0-9]{2}([-./])[0-9]{1,2}\2[0-9]{1,2}$", s)
 
 
 def added_spans(model: Model, text: str, base: list[tuple[int, int, int]], words: list[list[tuple[int, int]]]) -> list[tuple[int, int, int]]:
