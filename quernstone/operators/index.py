@@ -3,14 +3,16 @@
 Documents: space, doc_id (string), id (long, in the order of writing), updated (nanoseconds), title, txt, alive. Documents that aren't
 alive have empty title and text, and count among all documents.
 
-A saved index holds postings sorted by term, so a search reads the row groups of its terms only; documents without their text, so ranking
-doesn't read it; and texts apart, which are joined for the page that is shown."""
+A saved index holds postings sorted by term, so a search reads the row groups of its terms only. A posting repeats what a search needs to know of its
+document (length, space, alive; they cost next to nothing in columns sorted like this), so matching and ranking read and shuffle postings alone.
+Documents and texts are sorted by id and read for the ids of the page that is shown. The numbers of all documents are kept beside them."""
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,9 +58,10 @@ def deleted_cleared(docs: DataFrame) -> DataFrame:
 @dataclass
 class Index:
     docs: DataFrame  # id, space, doc_id, updated, alive, title, n_tokens, n_title, n_body
-    postings: DataFrame  # id, col, off, term
+    postings: DataFrame  # id, col, off, term, n_tokens, space, alive
     texts: DataFrame  # id, txt
     analyser: Analyser = field(default_factory=Analyser)
+    kept_totals: tuple[int, float] | None = None
 
     @staticmethod
     def of(docs: DataFrame, analyser: Analyser | None = None) -> Index:
@@ -67,17 +70,21 @@ class Index:
         docs = deleted_cleared(docs).withColumns({"tt": analyser.tokens(F.col("title")), "tb": analyser.tokens(F.col("txt"))})
         sized = docs.select("id", "space", "doc_id", "updated", "alive", "title", F.size("tt").alias("n_title"), F.size("tb").alias("n_body"))
         sides = F.array(*(F.struct(F.lit(k).alias("col"), F.col(c).alias("terms")) for k, c in ((TITLE, "tt"), (BODY, "tb"))))
-        each = docs.select("id", F.explode(sides).alias("s")).select("id", F.col("s.col").alias("col"), F.posexplode("s.terms").alias("off", "term"))
+        own = F.struct((F.col("n_title") + F.col("n_body")).alias("n_tokens"), "space", "alive").alias("d")
+        counted = docs.withColumns({"n_title": F.size("tt"), "n_body": F.size("tb")})
+        each = counted.select("id", own, F.explode(sides).alias("s")).select("id", F.col("s.col").alias("col"), F.posexplode("s.terms").alias("off", "term"), "d.n_tokens", "d.space", "d.alive")
         return Index(sized.withColumn("n_tokens", F.col("n_title") + F.col("n_body")), analyser.finish(each), docs.select("id", "txt"), analyser)
 
     def save(self, path: str, partitions: int | None = None) -> Index:
         spark = self.docs.sparkSession
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.texts.write.mode("overwrite").parquet(f"{path}/texts")
+        for name, part in (("docs", self.docs), ("texts", self.texts)):
+            part.repartitionByRange(n, "id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/{name}")
         self.postings.repartitionByRange(n, "term", "id").sortWithinPartitions("term", "id", "col", "off").write.mode("overwrite").parquet(f"{path}/postings")
         write_state(spark, path, self.analyser)
-        return Index.open(spark, path, self.analyser)
+        made = Index.open(spark, path, self.analyser)
+        spark.createDataFrame([made.totals()], "n_docs long, avgdl double").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+        return made
 
     @staticmethod
     def open(spark: SparkSession, path: str, analyser: Analyser | None = None, force: bool = False) -> Index:
@@ -87,7 +94,19 @@ class Index:
             if not force:
                 raise ValueError(f"the index was made with {kept}, not {analyser}")
             write_state(spark, path, analyser)
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "texts")), analyser or kept or Analyser())
+        made = Index(*(spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "texts")), analyser or kept or Analyser())
+        try:
+            made.kept_totals = tuple(spark.read.parquet(f"{path}/totals").first())
+        except AnalysisException:  # made before they were kept, or while it is being saved
+            made.kept_totals = None
+        return made
+
+    def totals(self) -> tuple[int, float]:
+        """Number of documents and their mean length; counted once."""
+        if self.kept_totals is None:
+            n, mean = self.docs.agg(F.count("*"), F.avg("n_tokens")).first()
+            self.kept_totals = (n, mean or 0.0)
+        return self.kept_totals
 
     # Vocabulary
 
@@ -124,10 +143,8 @@ def write_state(spark: SparkSession, path: str, analyser: Analyser) -> None:
 def read_state(spark: SparkSession, path: str) -> Analyser | None:
     try:
         rows = spark.read.text(f"{path}/analyser").collect()
-    except Exception as e:  # an index that is only begun has none
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
+    except AnalysisException:  # an index that is only begun has none
+        return None
     kept = json.loads(rows[0][0])
     return Analyser(**kept | {"languages": tuple(kept["languages"])})
 

@@ -57,17 +57,20 @@ def parts(index: Index, phrases: list[Phrase], stopwords: set[str] = frozenset()
 
 
 def instances(index: Index, wanted: list[Part]) -> DataFrame:
-    """(id, col, start, phrase) of every place where a phrase matches. Postings are read for the query's terms only."""
+    """(id, col, start, phrase, doc) of every place where a phrase matches; doc: what postings tell of the document. Postings are read for the query's
+    terms only."""
     places = [(p, k) for p in wanted for k in range(len(p.terms))]
+    doc = F.struct("n_tokens", "space", "alive").alias("doc")
     rows = index.postings.where(fold(Column.__or__, [p.condition(k) for p, k in places]))
     if len(places) == 1:
-        return rows.repartition("id").select("id", "col", F.col("off").alias("start"), F.lit(0).alias("phrase"))
+        return rows.select("id", "col", F.col("off").alias("start"), F.lit(0).alias("phrase"), doc).repartition("id")
     tagged = F.array_compact(F.array(*(F.when(p.condition(k), F.struct(F.lit(p.number).alias("phrase"), F.lit(k).alias("k"))) for p, k in places)))
-    each = rows.select("id", "col", "off", F.explode(tagged).alias("t")).select("id", "col", (F.col("off") - F.col("t.k")).alias("start"), F.col("t.phrase").alias("phrase")).repartition("id")
+    each = rows.select("id", "col", "off", doc, F.explode(tagged).alias("t")).select("id", "col", (F.col("off") - F.col("t.k")).alias("start"), F.col("t.phrase").alias("phrase"), "doc").repartition("id")
     if all(len(p.terms) == 1 for p in wanted):
         return each
     sizes = F.element_at(F.array(*(F.lit(len(p.terms)) for p in wanted)), F.col("phrase") + 1)
-    return each.groupBy("id", "col", "phrase", "start").agg(F.count("*").alias("n")).where(F.col("n") == sizes).select("id", "col", "start", "phrase")
+    whole = each.groupBy("id", "col", "phrase", "start").agg(F.count("*").alias("n"), F.first("doc").alias("doc"))
+    return whole.where(F.col("n") == sizes).select("id", "col", "start", "phrase", "doc")
 
 
 def near(found: DataFrame, include: list[Part], distance: int = NEAR) -> DataFrame:
@@ -80,35 +83,50 @@ def near(found: DataFrame, include: list[Part], distance: int = NEAR) -> DataFra
     # rows at one start see the same ranges, so each of them knows whether its start is an anchor
     anchored = found.withColumn("anchor", all_before)
     ahead = [F.when(is_p, F.max("anchor").over(line.rangeBetween(0, reach))) for is_p, reach in here]
-    return anchored.withColumn("kept", F.coalesce(*ahead)).where("kept").select("id", "col", "start", "phrase")
+    return anchored.withColumn("kept", F.coalesce(*ahead)).where("kept").drop("anchor", "kept")
 
 
-def matches(index: Index, wanted: list[Part], shards: int = 1) -> DataFrame:
-    """(id, rank, col, off, shard): every document that matches, ranked by BM25 (lower is better), and where its first match stands. With several
-    shards the statistics are those of each document's shard."""
+def _kept(every: DataFrame, wanted: list[Part]) -> DataFrame:
+    """Instances of the phrases asked for, near each other, in documents without an excluded phrase."""
     include, exclude = [p for p in wanted if not p.exclude], [p for p in wanted if p.exclude]
-    every = instances(index, wanted)
     found = every.where(F.col("phrase").isin(*(p.number for p in include))) if exclude else every
-    docs = index.docs.select("id", "n_tokens", (text.shard_of(F.col("doc_id"), shards) if shards > 1 else F.lit(0)).alias("shard"))
-    stats = docs.groupBy("shard").agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avgdl"))
+    kept = near(found, include)
+    if exclude:
+        kept = kept.join(every.where(F.col("phrase").isin(*(p.number for p in exclude))).select("id").distinct(), "id", "left_anti")
+    return kept
+
+
+def matched(index: Index, wanted: list[Part]) -> DataFrame:
+    """(id, space, alive) of every document that matches, without ranks."""
+    return _kept(instances(index, wanted), wanted).groupBy("id").agg(F.first("doc").alias("doc")).select("id", "doc.space", "doc.alive")
+
+
+def matches(index: Index, wanted: list[Part], shards: int = 1) -> DataFrame:
+    """(id, rank, col, off, shard, space, alive): every document that matches, ranked by BM25 (lower is better), and where its first match stands. With
+    several shards the statistics are those of each document's shard."""
+    include = [p for p in wanted if not p.exclude]
+    every = instances(index, wanted)
+    found = every.where(F.col("phrase").isin(*(p.number for p in include))) if len(include) < len(wanted) else every
+    weight = F.when(F.col("col") == TITLE, WEIGHTS[0]).otherwise(WEIGHTS[1])
+    counted = _kept(every, wanted).groupBy("id", "phrase").agg(F.sum(weight).alias("f"), F.min(F.struct("col", "start")).alias("first"), F.first("doc").alias("doc"))
     with_phrase = found.select("id", "phrase").distinct()
     if shards > 1:
+        docs = index.docs.select("id", "n_tokens", text.shard_of(F.col("doc_id"), shards).alias("shard"))
+        stats = docs.groupBy("shard").agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avgdl"))
+        counted = counted.join(docs.select("id", "shard"), "id").join(F.broadcast(stats), "shard")  # a row for each shard
         with_phrase = with_phrase.join(docs.select("id", "shard"), "id")
     else:
+        n, mean = index.totals()
+        counted = counted.withColumns({"shard": F.lit(0), "n_docs": F.lit(n), "avgdl": F.lit(mean)})
         with_phrase = with_phrase.withColumn("shard", F.lit(0))
-    df = with_phrase.groupBy("shard", "phrase").agg(F.count("*").alias("df"))
-    kept = near(found, include)
-    if exclude:
-        kept = kept.join(every.where(F.col("phrase").isin(*(p.number for p in exclude))).select("id").distinct(), "id", "left_anti")
-    weight = F.when(F.col("col") == TITLE, WEIGHTS[0]).otherwise(WEIGHTS[1])
-    counted = kept.groupBy("id", "phrase").agg(F.sum(weight).alias("f"), F.min(F.struct("col", "start")).alias("first"))
-    scored = counted.join(docs, "id").join(F.broadcast(df), ["shard", "phrase"]).join(F.broadcast(stats), "shard")
+    df = with_phrase.groupBy("shard", "phrase").agg(F.count("*").alias("df"))  # a row for each shard and phrase
+    scored = counted.join(F.broadcast(df), ["shard", "phrase"])
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("n_tokens") / F.col("avgdl")))
+    part = idf * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("doc.n_tokens") / F.col("avgdl")))
     # a sum in the order of phrases, so that equal documents have equal ranks to the last bit
     ordered = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("phrase", part.alias("s")))), lambda x: x["s"]), F.lit(0.0), lambda a, b: a + b)
-    all_phrases = scored.groupBy("id", "shard").agg((-ordered).alias("rank"), F.min("first").alias("first"))
-    return all_phrases.select("id", "shard", "rank", F.col("first.col").alias("col"), F.col("first.start").alias("off"))
+    all_phrases = scored.groupBy("id").agg((-ordered).alias("rank"), F.min("first").alias("first"), F.first("doc").alias("doc"), F.first("shard").alias("shard"))
+    return all_phrases.select("id", "shard", "rank", F.col("first.col").alias("col"), F.col("first.start").alias("off"), "doc.space", "doc.alive")
 
 
 @F.pandas_udf(T.StringType())
@@ -117,13 +135,13 @@ def _window(body: pd.Series, off: pd.Series) -> pd.Series:
     return pd.Series([x.replace("\n", " ") for x in made], dtype=object)
 
 
-def _snippet(index: Index, page: DataFrame, kind: str | None) -> DataFrame:
+def _snippet(index: Index, ids: list[int], page: DataFrame, kind: str | None) -> DataFrame:
     """Adds the snippet; only the page's texts are read."""
     if kind is None:
         return page.withColumn("snippet", F.lit(None).cast("string"))
     if kind == "title":
         return page.withColumn("snippet", F.col("title"))
-    page = page.join(index.texts, "id")
+    page = index.texts.where(F.col("id").isin(ids)).join(F.broadcast(page), "id")
     column = F.when(F.col("col") == TITLE, F.col("title")).otherwise(F.col("txt"))
     size = F.when(F.col("col") == TITLE, F.col("n_title")).otherwise(F.col("n_body"))
     if kind == "window":
@@ -133,42 +151,49 @@ def _snippet(index: Index, page: DataFrame, kind: str | None) -> DataFrame:
     return page.withColumn("snippet", F.concat(F.when(F.col("off") > 1, "…").otherwise(""), middle, F.when(size > SNIPPET, "…").otherwise("")))
 
 
-def hits(index: Index, wanted: list[Part], spaces: list[str] | None, cap: int | None = None, shards: int = 1) -> DataFrame:
+def shown(found: DataFrame, spaces: list[str] | None, cap: int | None = None) -> DataFrame:
     """Matching documents that are alive and in one of the spaces. With a cap, only the cap + 1 matches written first are looked at, as a bounded
     search does."""
-    found = matches(index, wanted, shards)
     if cap is not None:
         found = found.orderBy("id").limit(cap + 1)
-    docs = index.docs.where("alive")
-    if spaces is not None:
-        docs = docs.where(F.col("space").isin(*spaces))
-    return found.join(docs, "id")
+    found = found.where("alive")
+    return found if spaces is None else found.where(F.col("space").isin(*spaces))
 
 
-def _empty(index: Index) -> DataFrame:
-    return index.docs.sparkSession.createDataFrame([], "space string, id string, rank double, snippet string, total long, total_raw long, capped boolean, status string")
+_HITS = "space string, id string, rank double, snippet string, total long, total_raw long, capped boolean, status string"
 
 
 def search(
-    index: Index, query: str | list[Phrase], spaces: list[str] | None = None, limit: int = 10, page: int = 0, cap: int | None = None, snippet: str | None = "window", stopwords: set[str] = frozenset(), synonyms: dict[str, tuple[str, ...]] | None = None
+    index: Index, query: str | list[Phrase], spaces: list[str] | None = None, limit: int = 10, page: int = 0, cap: int | None = None, snippet: str | None = "window", totals: bool = True, stopwords: set[str] = frozenset(), synonyms: dict[str, tuple[str, ...]] | None = None
 ) -> DataFrame:
-    """A page of hits: space, id, rank, snippet, with total (hits in the spaces), total_raw (matches, before documents are filtered), capped, status. `page`
-    is a page number. A query of exclusions alone is an error, one of no words has no hits; both give no rows (see status_of)."""
+    """A page of hits in order: space, id, rank, snippet, with total (hits in the spaces), total_raw (matches, before documents are filtered), capped, status.
+    `page` is a page number. A query of exclusions alone is an error, one of no words has no hits; both give no rows (see status_of).
+
+    The page's ids and ranks (500 at most) come to the driver by one job over postings, the totals by another that ranks nothing; documents and
+    texts are then read for those ids."""
     phrases = language.reduce(language.parse(query)) if isinstance(query, str) else query
     wanted = parts(index, phrases, stopwords, synonyms)
+    spark = index.docs.sparkSession
     if status_of(wanted) != OK:
-        return _empty(index)
+        return spark.createDataFrame([], _HITS)
     limit = language.clamp(limit)
-    found = matches(index, wanted)
-    raw = found.agg(F.count("*")).scalar() if cap is None else found.orderBy("id").limit(cap + 1).agg(F.count("*")).scalar()
-    all_hits = hits(index, wanted, spaces, cap)
-    total = all_hits.agg(F.count("*")).scalar()
-    shown = all_hits.orderBy("rank", "id").offset(page * limit).limit(limit)
-    out = _snippet(index, shown, snippet)
-    most = F.lit(cap if cap is not None else 2**62)
-    return out.select(
-        "space", F.col("doc_id").alias("id"), "rank", "snippet", F.least(total, most).alias("total"), F.least(raw, most).alias("total_raw"), (raw > most).alias("capped"), F.lit(OK).alias("status")
-    )
+    ranked = shown(matches(index, wanted), spaces, cap).select("id", "rank", "col", "off", "space")
+    rows = ranked.orderBy("rank", "id").offset(page * limit).limit(limit).collect()
+    if not rows:
+        return spark.createDataFrame([], _HITS)
+    total = raw = None
+    most = cap if cap is not None else 2**62
+    if totals:
+        found = matched(index, wanted)
+        found = found if cap is None else found.orderBy("id").limit(cap + 1)
+        visible = F.col("alive") if spaces is None else F.col("alive") & F.col("space").isin(*spaces)
+        raw, total = found.agg(F.count("*"), F.count_if(visible)).first()
+    numbers = (None if total is None else min(total, most), None if raw is None else min(raw, most), None if raw is None else raw > most)
+    place = spark.createDataFrame([(k, *r, *numbers) for k, r in enumerate(rows)], "place int, id long, rank double, col int, off int, space string, total long, total_raw long, capped boolean")
+    ids = [r["id"] for r in rows]
+    docs = index.docs.where(F.col("id").isin(ids)).select("id", "doc_id", "title", "n_title", "n_body")
+    full = _snippet(index, ids, docs.join(F.broadcast(place), "id"), snippet)
+    return full.orderBy("place").select("space", F.col("doc_id").alias("id"), "rank", "snippet", "total", "total_raw", "capped", F.lit(OK).alias("status"))
 
 
 def status_of(wanted: list[Part]) -> str:
@@ -182,8 +207,9 @@ def per_shard(index: Index, query: str, shards: int, spaces: list[str] | None =
     wanted = parts(index, language.reduce(language.parse(query)))
     each = max(1, language.clamp(limit) // shards)
     row = F.row_number().over(Window.partitionBy("shard").orderBy("rank", "id")).alias("position")
-    found = hits(index, wanted, spaces, shards=shards).select("shard", "space", F.col("doc_id"), "id", "rank", row)
-    return found.where((F.col("position") > page * each) & (F.col("position") <= (page + 1) * each)).select("shard", "position", "space", F.col("doc_id").alias("id"), "rank")
+    found = shown(matches(index, wanted, shards), spaces).select("shard", "space", "id", "rank", row)
+    page_of = found.where((F.col("position") > page * each) & (F.col("position") <= (page + 1) * each))
+    return index.docs.select("id", "doc_id").join(F.broadcast(page_of), "id").select("shard", "position", "space", F.col("doc_id").alias("id"), "rank")
 
 
 def merged(responses: DataFrame) -> DataFrame:
@@ -198,4 +224,4 @@ def merged_response(responses: DataFrame) -> DataFrame:
     return responses.agg(F.max("duration").alias("duration"), F.max("status").alias("status"), F.bool_or("capped").alias("capped"), F.sum("total").alias("total"), near_one.alias("respelt"))
 
 
-__all__ = ["BODY", "search", "per_shard", "merged", "merged_response", "parts", "status_of", "hits", "matches"]
+__all__ = ["BODY", "search", "per_shard", "merged", "merged_response", "parts", "status_of", "shown", "matched", "matches"]

@@ -111,7 +111,7 @@ _PAGE = "h as (select r.*, d.space, d.title, d.txt, x from r join d using (id) j
 
 def _search(name: str, q: str, phrases: list[str], spaces: list[str] | None = None, n: int = 10) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = plan.search(index_of(spark, sf_dir), q, spaces, limit=n, snippet=None)
+        found = plan.search(index_of(spark, sf_dir), q, spaces, limit=n, snippet=None, totals=False)
         return found.select("space", "id", F.round("rank", 6).alias("rank"))
 
     run.__name__ = name
@@ -153,7 +153,7 @@ SQL["search_total"] = search_sql(["the", "on"], "h as (select r.* from r join d
 
 @query
 def search_title_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.search(index_of(spark, sf_dir), "that", None, limit=20, snippet="title").select("id", "snippet")
+    return plan.search(index_of(spark, sf_dir), "that", None, limit=20, snippet="title", totals=False).select("id", "snippet")
 
 
 SQL["search_title_snippet"] = search_sql(["that"], "h as (select r.*, title from r join d using (id) where alive) select id::varchar as id, title as snippet from h order by h.rank, h.id limit 20")
@@ -162,7 +162,7 @@ SQL["search_title_snippet"] = search_sql(["that"], "h as (select r.*, title from
 @query
 def search_token_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The snippet made of the index's tokens."""
-    return plan.search(index_of(spark, sf_dir), "haha that", None, limit=20, snippet="tokens").select("id", "snippet")
+    return plan.search(index_of(spark, sf_dir), "haha that", None, limit=20, snippet="tokens", totals=False).select("id", "snippet")
 
 
 SQL["search_token_snippet"] = search_sql(["haha", "that"], """h as (select r.*, x // 1000000000 as c, x % 1000000000 as o from r join d using (id) join first using (id) where alive)
@@ -173,14 +173,14 @@ from h join k on k.id = h.id and k.col = c order by h.rank, h.id limit 20""")
 @query
 def search_window_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The snippet cut from the text as it stands."""
-    return plan.search(index_of(spark, sf_dir), '"of the" haha', None, limit=20, snippet="window").select("id", "snippet")
+    return plan.search(index_of(spark, sf_dir), '"of the" haha', None, limit=20, snippet="window", totals=False).select("id", "snippet")
 
 
 @query
 def search_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = synonyms.numbered(spark.createDataFrame(SYNONYMS, "description string, words array<string>"))
     found = synonyms.lookup(groups, ["haha", "on"])
-    return plan.search(index_of(spark, sf_dir), "haha", None, limit=25, snippet=None, synonyms=found).select("id", F.round("rank", 6).alias("rank"))
+    return plan.search(index_of(spark, sf_dir), "haha", None, limit=25, snippet=None, totals=False, synonyms=found).select("id", F.round("rank", 6).alias("rank"))
 
 
 SQL["search_synonyms"] = search_sql(["haha"], "h as (select r.* from r join d using (id) where alive) select id::varchar as id, round(rank, 6) as rank from h order by h.rank, h.id limit 25").replace("p0.term = 'haha'", "p0.term in ('haha', 'the', 'that')")
