@@ -23,7 +23,7 @@ class DocumentTable:
         self.path = path or f"{shared_dir(spark).rstrip('/')}/docs-{uuid.uuid4().hex}"
 
     def write(self, updates: DataFrame, batch: int, order: str) -> None:
-        latest(updates.withColumn("version", F.col(order).cast("long")), order, key=self.key).write.mode("overwrite").parquet(f"{self.path}/data/batch={batch}")
+        latest(updates.withColumns({"version": F.col(order).cast("long"), "__n": F.col(order)}), "__n", key=self.key).write.mode("overwrite").parquet(f"{self.path}/data/batch={batch}")
 
     def read(self) -> DataFrame:
         return self._versions().drop("version")
