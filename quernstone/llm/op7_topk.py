@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quernstone.session import cut, table
 
-BLOCK, AT_ONCE, LEVELS = 262_144, 256, (4, 16)
+BLOCK, TILE, AT_ONCE, LEVELS = 262_144, 8192, 256, (4, 16)
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -47,56 +47,67 @@ def _wide(m: np.ndarray, d: int) -> np.ndarray:
 
 
 class Block:
-    """Vectors with their statistics at each resolution."""
+    """Vectors in the order of vec_id with their statistics at each resolution, and the search in them by tiles."""
 
     def __init__(self, uids: np.ndarray, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.uids, self.ids, self.x = uids[order], ids[order], x[order]
-        self.f = self.x.astype(np.float64)
+        self.uids, self.ids = uids[order], ids[order]
+        self.widen(x[order])
+
+    def widen(self, x: np.ndarray) -> None:
+        self.x, self.f = x, x.astype(np.float64)
         self.most = float(np.abs(self.f).max(initial=0))
         self.levels = [features(self.f, s) for s in LEVELS]
         self.norm = float(np.sqrt((self.f**2).sum(1)).max(initial=0))
 
-    def exact(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Integer scores of pairs (q[i], x[rows[i]])."""
-        a, b = q, self.x[rows]
-        if self.most * float(np.abs(q).max(initial=0)) * max(1, q.shape[1]) < 2**62:
-            return np.einsum("ij,ij->i", a, b)
-        return np.array([max(-(2**63), min(2**63 - 1, sum(map(int.__mul__, r, s)))) for r, s in zip(a.tolist(), b.tolist())], np.int64)
-
-    def search(self, quids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(number of the query, vec_ids, scores) of the k best of each query."""
-        n = len(self.ids)
+    def search(self, quids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and places of each query's k best, falling; a place of -1 is none. A tile's vectors have larger ids than those before it, so a vector must
+        exceed the k-th best so far to count."""
         d = max(q.shape[1], self.x.shape[1])
         if d > self.x.shape[1]:
-            self.__init__(self.uids, self.ids, _wide(self.x, d))
+            self.widen(_wide(self.x, d))
         q = _wide(q, d)
         f = q.astype(np.float64)
-        own = features(f, LEVELS[0])
-        slack = 1e-9 * np.sqrt((f**2).sum(1)) * self.norm + 0.5
-        bound = own @ self.levels[0].T + slack[:, None]
-        mine = self.uids[None] == quids[:, None]
-        bound[mine] = -np.inf
-        m = min(n, 8 * k)
-        first = np.argpartition(-bound, m - 1, axis=1)[:, :m]
-        sure = self.exact(np.repeat(q, m, axis=0), first.ravel()).reshape(len(q), m).astype(np.float64)
-        sure[np.take_along_axis(mine, first, 1)] = -np.inf
-        least = np.sort(sure, axis=1)[:, -k] if m >= k else np.full(len(q), -np.inf)  # the k-th best is at least this
-        i, j = np.nonzero((bound >= least[:, None]) & ~mine)
-        for s, level in zip(LEVELS[1:], self.levels[1:]):
-            fine = features(f, s)
-            if len(i) * 4 > len(q) * n:
-                at = (fine @ level.T)[i, j]
+        most = self.most * float(np.abs(f).max(initial=0)) * max(1, d)
+        exactly = most < 2**53  # sums of products are whole numbers that float64 holds
+        own = [features(f, s) for s in LEVELS]
+        slack = 1e-9 * np.sqrt((f**2).sum(1)) * self.norm + 0.25
+        best = np.full((len(q), k), -np.inf) if exactly else np.full((len(q), k), None, object)
+        at = np.full((len(q), k), -1, np.int64)
+        least = np.full(len(q), -np.inf)
+        for lo in range(0, len(self.ids), TILE):
+            part = slice(lo, lo + TILE)
+            open_ = np.ones((len(q), len(self.ids[part])), bool)
+            if lo:  # the first tile sets the marks that later ones are held against
+                for mine, level in zip(own, self.levels):
+                    columns = np.flatnonzero(open_.any(0))
+                    if len(columns) < open_.shape[1] // 2:
+                        open_[:, columns] &= mine @ level[part][columns].T + slack[:, None] > least[:, None]
+                    else:
+                        open_ &= mine @ level[part].T + slack[:, None] > least[:, None]
+            open_ &= self.uids[part][None] != quids[:, None]
+            columns = np.flatnonzero(open_.any(0))
+            if not len(columns):
+                continue
+            if exactly:
+                scores = np.where(open_[:, columns], f @ self.f[part][columns].T, -np.inf)
+                reach = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
+                rows, cells = np.nonzero((scores >= reach[:, None]) & (scores > least[:, None]))
+                values = scores[rows, cells]
             else:
-                at = np.concatenate([np.einsum("ij,ij->i", fine[i[o : o + 65536]], level[j[o : o + 65536]]) for o in range(0, len(i), 65536)] or [np.empty(0)])
-            keep = at + slack[i] >= least[i]
-            i, j = i[keep], j[keep]
-        scores = np.concatenate([self.exact(q[i[o : o + 65536]], j[o : o + 65536]) for o in range(0, len(i), 65536)] or [np.empty(0, np.int64)])
-        cuts = np.searchsorted(i, np.arange(len(q) + 1))
-        for a in range(len(q)):
-            own_j, own_s = j[cuts[a] : cuts[a + 1]], scores[cuts[a] : cuts[a + 1]]
-            best = np.argsort(-own_s, kind="stable")[:k]  # j ascends with vec_id
-            yield a, self.ids[own_j[best]], own_s[best]
+                rows, cells = np.nonzero(open_[:, columns])
+                values = np.array([sum(map(int.__mul__, x, y)) for x, y in zip(q[rows].tolist(), self.x[part][columns[cells]].tolist())], object)
+            cuts = np.searchsorted(rows, np.arange(len(q) + 1))
+            for r in np.unique(rows).tolist():
+                a, b = cuts[r], cuts[r + 1]
+                had = int((at[r] >= 0).sum())
+                s = np.concatenate([best[r, :had], values[a:b]])
+                j = np.concatenate([at[r, :had], lo + columns[cells[a:b]]])
+                order = sorted(range(len(s)), key=lambda i, s=s: -s[i])[:k] if not exactly else np.argsort(-s, kind="stable")[:k]
+                best[r, : len(order)], at[r, : len(order)] = s[order], j[order]
+                if len(order) == k:
+                    least[r] = float(best[r, k - 1]) * (1 if exactly else 1 - np.sign(float(best[r, k - 1])) * 1e-9)
+        return best, at
 
 
 def features(f: np.ndarray, segments: int) -> np.ndarray:
@@ -135,11 +146,12 @@ def _search(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if block is None and held:
                 block, held = build(), []
             for o in range(0, len(ids) if block else 0, AT_ONCE):
-                found = list(block.search(uids[o : o + AT_ONCE], q[o : o + AT_ONCE], k))
-                n = [len(s) for _, _, s in found]
+                best, at_ = block.search(uids[o : o + AT_ONCE], q[o : o + AT_ONCE], k)
+                rows, cells = np.nonzero(at_ >= 0)
+                scores = best[rows, cells]
+                whole = [max(-(2**63), min(2**63 - 1, int(x))) for x in scores.tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids[o : o + AT_ONCE], n)), pa.array(np.repeat(uids[o : o + AT_ONCE], n)), pa.array(np.concatenate([v for _, v, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))],
-                    ["query_id", "quid", "vec_id", "score"],
+                    [pa.array(ids[o : o + AT_ONCE][rows]), pa.array(uids[o : o + AT_ONCE][rows]), pa.array(block.ids[at_[rows, cells]]), pa.array(whole, pa.int64())], ["query_id", "quid", "vec_id", "score"]
                 )
 
 

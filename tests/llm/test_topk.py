@@ -26,7 +26,8 @@ def test_against_brute_force(spark, monkeypatch, d):
     centres = [[rng.gauss(0, 0.2) for _ in range(d)] for _ in range(6)]
     rows = [(i, [c + rng.gauss(0, rng.choice([0, 0.05])) for c in rng.choice(centres)]) for i in range(400)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    monkeypatch.setattr(op, "BLOCK", 70)
+    monkeypatch.setattr(op, "BLOCK", 170)
+    monkeypatch.setattr(op, "TILE", 40)
     monkeypatch.setattr(op, "AT_ONCE", 3)
     assert got(op.top_k(df, 20, 5)) == brute(rows, 20, 5)
 
