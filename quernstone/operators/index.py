@@ -62,6 +62,7 @@ class Index:
     texts: DataFrame  # id, txt
     analyser: Analyser = field(default_factory=Analyser)
     kept_totals: tuple[int, float] | None = None
+    kept_vocabulary: DataFrame | None = None  # term, doc, cnt, sorted by term
 
     @staticmethod
     def of(docs: DataFrame, analyser: Analyser | None = None) -> Index:
@@ -83,6 +84,9 @@ class Index:
         self.postings.repartitionByRange(n, "term", "id").sortWithinPartitions("term", "id", "col", "off").write.mode("overwrite").parquet(f"{path}/postings")
         write_state(spark, path, self.analyser)
         made = Index.open(spark, path, self.analyser)
+        vocabulary = Index(made.docs, made.postings, made.texts).vocabulary()
+        vocabulary.repartitionByRange(n, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
+        made.kept_vocabulary = spark.read.parquet(f"{path}/vocabulary")
         spark.createDataFrame([made.totals()], "n_docs long, avgdl double").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
         return made
 
@@ -96,9 +100,10 @@ class Index:
             write_state(spark, path, analyser)
         made = Index(*(spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "texts")), analyser or kept or Analyser())
         try:
-            made.kept_totals = tuple(spark.read.parquet(f"{path}/totals").first())
-        except AnalysisException:  # made before they were kept, or while it is being saved
-            made.kept_totals = None
+            totals = tuple(spark.read.parquet(f"{path}/totals").first())
+            made.kept_vocabulary, made.kept_totals = spark.read.parquet(f"{path}/vocabulary"), totals
+        except AnalysisException:  # it is only being saved
+            pass
         return made
 
     def totals(self) -> tuple[int, float]:
@@ -111,14 +116,16 @@ class Index:
     # Vocabulary
 
     def vocabulary(self) -> DataFrame:
-        """term, doc (documents with it), cnt (occurrences)."""
+        """term, doc (documents with it), cnt (occurrences). A saved index has it ready."""
+        if self.kept_vocabulary is not None:
+            return self.kept_vocabulary
         per_doc = self.postings.groupBy("term", "id").agg(F.count("*").alias("n"))
         return per_doc.groupBy("term").agg(F.count("*").alias("doc"), F.sum("n").alias("cnt"))
 
     def stats(self) -> DataFrame:
         """One row: n_docs, n_alive, total_terms, unique_terms, avgdl."""
         docs = self.docs.agg(F.count("*").alias("n_docs"), F.count_if("alive").alias("n_alive"), F.sum("n_tokens").cast("long").alias("total_terms"), F.avg("n_tokens").alias("avgdl"))
-        return docs.withColumn("unique_terms", self.postings.select(F.countDistinct("term")).scalar())
+        return docs.withColumn("unique_terms", self.vocabulary().select(F.count("*")).scalar())
 
     def per_space(self) -> DataFrame:
         return self.docs.groupBy("space").agg(F.count("*").alias("n_docs"), F.count_if("alive").alias("n_alive"), F.max("updated").alias("last_update"))

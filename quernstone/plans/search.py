@@ -87,13 +87,27 @@ def near(found: DataFrame, include: list[Part], distance: int = NEAR) -> DataFra
 
 
 def _kept(every: DataFrame, wanted: list[Part]) -> DataFrame:
-    """Instances of the phrases asked for, near each other, in documents without an excluded phrase."""
+    """Instances of the phrases asked for, near each other, in documents without an excluded phrase. Exclusion is a flag over a document's matches,
+    which are in one place already."""
     include, exclude = [p for p in wanted if not p.exclude], [p for p in wanted if p.exclude]
-    found = every.where(F.col("phrase").isin(*(p.number for p in include))) if exclude else every
-    kept = near(found, include)
     if exclude:
-        kept = kept.join(every.where(F.col("phrase").isin(*(p.number for p in exclude))).select("id").distinct(), "id", "left_anti")
-    return kept
+        bad = F.col("phrase").isin(*(p.number for p in exclude))
+        every = every.withColumn("bad", F.max(bad).over(Window.partitionBy("id"))).where("not bad").drop("bad")
+    return near(every, include)
+
+
+def frequencies(index: Index, include: list[Part]) -> dict[int, int]:
+    """Documents with each phrase, by its number: of a single term from the vocabulary, of others by a count of their instances."""
+    simple = {p.number: p.terms[0][0] for p in include if len(p.terms) == 1 and len(p.terms[0]) == 1 and not p.wildcard}
+    rest, found = [p for p in include if p.number not in simple], {}
+    if simple:
+        docs = dict(index.vocabulary().where(F.col("term").isin(*simple.values())).select("term", "doc").collect())
+        found = {n: docs.get(t, 0) for n, t in simple.items()}
+    if rest:
+        numbered = [Part(k, p.terms, p.wildcard, False) for k, p in enumerate(rest)]
+        counts = instances(index, numbered).select("id", "phrase").distinct().groupBy("phrase").count().collect()
+        found |= {p.number: 0 for p in rest} | {rest[r["phrase"]].number: r["count"] for r in counts}
+    return found
 
 
 def matched(index: Index, wanted: list[Part]) -> DataFrame:
@@ -106,21 +120,19 @@ def matches(index: Index, wanted: list[Part], shards: int = 1) -> DataFrame:
     several shards the statistics are those of each document's shard."""
     include = [p for p in wanted if not p.exclude]
     every = instances(index, wanted)
-    found = every.where(F.col("phrase").isin(*(p.number for p in include))) if len(include) < len(wanted) else every
     weight = F.when(F.col("col") == TITLE, WEIGHTS[0]).otherwise(WEIGHTS[1])
     counted = _kept(every, wanted).groupBy("id", "phrase").agg(F.sum(weight).alias("f"), F.min(F.struct("col", "start")).alias("first"), F.first("doc").alias("doc"))
-    with_phrase = found.select("id", "phrase").distinct()
     if shards > 1:
         docs = index.docs.select("id", "n_tokens", text.shard_of(F.col("doc_id"), shards).alias("shard"))
         stats = docs.groupBy("shard").agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avgdl"))
-        counted = counted.join(docs.select("id", "shard"), "id").join(F.broadcast(stats), "shard")  # a row for each shard
-        with_phrase = with_phrase.join(docs.select("id", "shard"), "id")
+        found = every.where(F.col("phrase").isin(*(p.number for p in include))) if len(include) < len(wanted) else every
+        df = found.select("id", "phrase").distinct().join(docs.select("id", "shard"), "id").groupBy("shard", "phrase").agg(F.count("*").alias("df"))
+        scored = counted.join(docs.select("id", "shard"), "id").join(F.broadcast(stats), "shard").join(F.broadcast(df), ["shard", "phrase"])  # a row for each shard and phrase
     else:
         n, mean = index.totals()
-        counted = counted.withColumns({"shard": F.lit(0), "n_docs": F.lit(n), "avgdl": F.lit(mean)})
-        with_phrase = with_phrase.withColumn("shard", F.lit(0))
-    df = with_phrase.groupBy("shard", "phrase").agg(F.count("*").alias("df"))  # a row for each shard and phrase
-    scored = counted.join(F.broadcast(df), ["shard", "phrase"])
+        df = frequencies(index, include)
+        known = F.element_at(F.array(*(F.lit(df.get(p.number, 0)).cast("long") for p in wanted)), F.col("phrase") + 1)
+        scored = counted.withColumns({"shard": F.lit(0), "n_docs": F.lit(n), "avgdl": F.lit(mean), "df": known})
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("doc.n_tokens") / F.col("avgdl")))
     # a sum in the order of phrases, so that equal documents have equal ranks to the last bit
