@@ -101,3 +101,19 @@ class DocumentManager:
         unique_keys(rows)
         ids = rows.withColumn("id", F.monotonically_increasing_id())
         return Index.of(ids.select("id", "space", "doc_id", "updated", "title", "txt", "alive"), self.config.analyser()).save(f"{self.path}/index-{uuid.uuid4().hex[:8]}")
+
+
+def run_load(agent: SearchAgent, load_set: DataFrame, seed: int = 0) -> DataFrame:
+    """Runs load sets (Iterations, Spaces, Queries, Limit, Offset) against an agent, a random query each time: seconds, duration, status of each
+    iteration, for operators.monitor.load_report."""
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for s in load_set.collect():
+        for _ in range(s["Iterations"] or 0):
+            began = time.monotonic()
+            found = agent.search(rng.choice(s["Queries"]), s["Spaces"], s["Limit"] or 10, s["Offset"] or 0)
+            ok = found.status in (plan.OK, plan.NO_HIT)
+            rows.append((time.monotonic() - began, found.seconds, "ok" if ok else found.status))
+    return agent.index.docs.sparkSession.createDataFrame(rows, "seconds double, duration double, status string")

@@ -66,3 +66,9 @@ def to_table(stream: DataFrame, spark: SparkSession, mode: str = "append") -> Da
     query = writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{path}/data")
+
+
+def latest_stream(statuses: DataFrame, key: str, time: str, late: str = "10 minutes") -> DataFrame:
+    """The last status of each worker, kept up to date (update or complete mode)."""
+    rest = [c for c in statuses.columns if c != key]
+    return statuses.withWatermark(time, late).groupBy(key).agg(F.max_by(F.struct(*rest), time).alias("x")).select(key, "x.*")

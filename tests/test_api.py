@@ -89,3 +89,44 @@ def test_interest_stream(spark, tmp_path):
     by = {k: [r["reason"] for r in got.where(F.col("doc_id") == k).orderBy("at", "reason").collect()] for k in "ab"}
     assert by["a"] == ["wanted", "requested", "served"]
     assert by["b"][:2] == ["wanted", "requested"] and "asked too long ago" in by["b"]
+
+
+def test_pulled_source_goes_on_from_its_cursor(spark, tmp_path):
+    from quernstone.sources.cursor_source import CursorSource, pull
+
+    docs = [("s" if i % 2 else "t", f"{i:02d}", i // 3) for i in range(20)]
+    spark.createDataFrame(docs, "space string, doc_id string, updated long").write.parquet(str(tmp_path / "docs"))
+    path = str(tmp_path / "docs")
+    assert pull(path, None, (1, "04"), 2) == [("s", "05", 1), ("t", "06", 2)]
+    assert [d for _, d, _ in pull(path, "s", (-1, ""), 99)] == [f"{i:02d}" for i in range(1, 20, 2)]
+    spark.dataSource.register(CursorSource)
+    stream = lambda: spark.readStream.format("quernstone_updates").option("path", path).option("limit", 7).load()
+
+    def run(n):
+        q = stream().writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+        try:
+            while not q.exception() and (not (tmp_path / "out").exists() or spark.read.schema("space string, doc_id string, updated long").parquet(str(tmp_path / "out")).count() < n):
+                q.processAllAvailable()
+        finally:
+            q.stop()
+
+    run(20)
+    spark.createDataFrame([("s", "99", 50)], "space string, doc_id string, updated long").write.mode("append").parquet(path)
+    run(21)
+    assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [*(f"{i:02d}" for i in range(20)), "99"]
+
+
+def test_load_sets_and_latest_status(spark, manager, tmp_path):
+    from quernstone.api import run_load
+    from quernstone.operators.monitor import load_report
+    from quernstone.sources.files import read_load_set
+    from quernstone.streaming.index_stream import latest_stream
+
+    path = tmp_path / "l.json"
+    path.write_text('{"Iterations": 4, "Spaces": ["en"], "Queries": ["cars", "-cars"], "Limit": 5}')
+    report = load_report(run_load(SearchAgent(manager.index(), manager.config), read_load_set(spark, str(path)), 3)).first()
+    assert report["n"] == 4 and 0 < report["success"] < 1
+    rows = spark.createDataFrame([("w", 1, 10), ("w", 2, 20), ("v", 3, 5)], "worker string, n long, t long").select("worker", "n", F.timestamp_seconds(F.col("t") + 1_000_000).alias("ts"))
+    rows.write.parquet(str(tmp_path / "st"))
+    got = to_table(latest_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "st")), "worker", "ts"), spark, "complete")
+    assert {r["worker"]: r["n"] for r in got.collect()} == {"w": 2, "v": 3}
