@@ -90,7 +90,7 @@ class DocumentManager:
         self.batch = 0
 
     def add(self, docs: DataFrame) -> None:
-        """A batch of documents: space, doc_id, updated, title, txt, alive."""
+        """A batch of documents: space, doc_id, updated, title, txt, alive. Those of spaces that aren't configured are left out."""
         mine = only(docs.where(F.col("space").isin(*self.config.spaces)), self.config.shard_index, self.config.shard_size)
         self.table.write(mine, self.batch, "updated")
         self.batch += 1

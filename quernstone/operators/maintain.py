@@ -61,8 +61,10 @@ def unique_keys(docs: DataFrame, key: tuple[str, ...] = ("space", "doc_id")) ->
 # The interest list: (space, doc_id, updated, state, requested_at)
 
 
-def new_list(current: DataFrame, refs: DataFrame, space: str) -> DataFrame:
-    """The list with `refs` as a space's new work; an earlier list of the space must be served."""
+def new_list(current: DataFrame, refs: DataFrame, space: str, spaces: tuple[str, ...] | None = None) -> DataFrame:
+    """The list with `refs` as a space's new work; an earlier list of the space must be served. With `spaces`, the space must be one of them."""
+    if spaces is not None and space not in spaces:
+        raise ValueError(f"no such space: {space}")
     if current.where((F.col("space") == space) & (F.col("state") != SERVED)).limit(1).count():
         raise ValueError("the interest list isn't served yet")
     fresh = refs.select(F.lit(space).alias("space"), "doc_id", "updated", F.lit(PENDING).alias("state"), F.lit(None).cast("double").alias("requested_at"))
@@ -110,6 +112,14 @@ def assigned_ids(docs: DataFrame, first: int = 0) -> DataFrame:
     return docs.sparkSession.createDataFrame(rows, plain.schema.add("doc_id", "string"))
 
 
+def cursor_of(cursors: DataFrame, space: str, spaces: tuple[str, ...]) -> tuple[int, str]:
+    """A space's cursor; (0, '') before anything was served."""
+    if space not in spaces:
+        raise ValueError(f"no such space: {space}")
+    row = cursors.where(F.col("space") == space).first()
+    return (row["updated"], row["doc_id"]) if row else (0, "")
+
+
 class ResultCache:
     """Results of searches by their canonical query; entries age out, and the oldest go when there are too many."""
 
