@@ -25,6 +25,14 @@ def may_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def partitions_for(df: DataFrame, bytes_each: int = 256 << 20, most: int = 21_845) -> int:
+    """spark.sql.shuffle.partitions, or more if the plan's size, as the optimizer estimates it, asks for it."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 58 else 0  # the estimate of a plan of unknown size is boundless
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(most, -(-known // bytes_each)))
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

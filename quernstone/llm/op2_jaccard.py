@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import U64, attach, as_bytes, may_broadcast, mix, pieces, text_of, word_bounds, word_hashes
+from quernstone.llm.common import U64, attach, as_bytes, may_broadcast, mix, partitions_for, pieces, text_of, word_bounds, word_hashes
 from quernstone.llm.components import components
 from quernstone.session import cut, table
 
@@ -484,7 +484,7 @@ def _planned(seqs: DataFrame, member: DataFrame, partitions: int, block: int) ->
 
 def link(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, n_similar, component_id of every row."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions_for(docs.select("doc_id", "text"))
     buckets = min(0xFFFF, 3 * partitions)
     every = screened(docs, partitions)
     grouped = every.where("live").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("csize"), F.max("n").alias("n"))
