@@ -296,19 +296,19 @@ def spelling_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fuzzy_levenshtein_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of frequent ASCII words with the same first three letters and a plain edit distance of one."""
-    words = spell.dictionary(index_of(spark, sf_dir).vocabulary(), 40).where("word = k1").select("word", F.substring("word", 1, 3).alias("block"))
+    """Pairs of the dictionary's ASCII words with the same first three letters and a plain edit distance of one."""
+    words = spell.dictionary(index_of(spark, sf_dir).vocabulary()).where("word = k1").select("word", F.substring("word", 1, 3).alias("block"))
     other = words.select(F.col("word").alias("similar"), "block")
     return words.join(other, "block").where("word < similar").where(F.levenshtein("word", "similar", 1) == 1).select("word", "similar")
 
 
-SQL["fuzzy_levenshtein_block"] = f"with {POSTINGS}, w as (select term from vocab where length(term) > 3 and cnt >= 40 and strlen(term) = length(term)) select a.term as word, b.term as similar from w a join w b on left(a.term, 3) = left(b.term, 3) and a.term < b.term where levenshtein(a.term, b.term) = 1"
+SQL["fuzzy_levenshtein_block"] = f"with {POSTINGS}, w as (select term from vocab where length(term) > 3 and cnt >= 5 and strlen(term) = length(term)) select a.term as word, b.term as similar from w a join w b on left(a.term, 3) = left(b.term, 3) and a.term < b.term where levenshtein(a.term, b.term) = 1"
 
 
 @query
 def term_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phonetic hash, ASCII form, script and stem of each frequent term."""
-    v = index_of(spark, sf_dir).vocabulary().where("cnt >= 5")
+    """ASCII form, phonetic hash and stem of each term."""
+    v = index_of(spark, sf_dir).vocabulary()
     return v.select("term", spelling.translit_of("term").alias("ascii"), spelling.phonehash_of(spelling.translit_of("term")).alias("hash"), stemming.stem_of("term").alias("stem"))
 
 
@@ -332,7 +332,7 @@ SQL["folded_vocabulary"] = f"with {POSTINGS} select strip_accents(term) as term,
 
 @query
 def editdist_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = index_of(spark, sf_dir).vocabulary().where("cnt >= 20").select("term", spelling.translit_of("term").alias("a"))
+    v = index_of(spark, sf_dir).vocabulary().select("term", spelling.translit_of("term").alias("a"))
     return v.select("term", spelling.editdist_of(F.lit("thation"), F.col("a")).alias("distance"), spelling.editdist3_of(F.lit("thation"), F.col("a")).alias("distance3"))
 
 
