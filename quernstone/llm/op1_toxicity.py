@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from quernstone.llm.common import U64, mix, pieces, text_of
 from quernstone.session import table
 
-TRAIN_ROWS, TRAIN_BYTES = 4000, 20_000
+TRAIN_ROWS, TRAIN_BYTES = 2500, 20_000
 BITS, DIM, GRAMS, WINDOW, STEPS, THRESHOLD = 17, 8, (3, 4, 5), 3, 600, 0.3
 RATE, DECAY = 0.3, 1e-3
-MEMO = 400_000
+MEMO, AT_ONCE = 120_000, 10_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -32,7 +32,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the character n-grams of all words, one word after another, and where each word's begin. Every word has at least one."""
+    """Buckets of the character n-grams of all words, one word after another, and where each word's begin. Every word has at least one.
+    Words are taken AT_ONCE at a time, which bounds what is held besides the result."""
+    if len(words) > AT_ONCE:
+        parts = [grams(words[o : o + AT_ONCE]) for o in range(0, len(words), AT_ONCE)]
+        before = np.cumsum([0, *(len(ids) for ids, _ in parts[:-1])])
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([starts + n for (_, starts), n in zip(parts, before)])
     lens = np.fromiter(map(len, words), np.int64, len(words)) + 2
     ends = np.cumsum(lens)
     chars = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64) if words else np.empty(0, U64)
@@ -50,7 +55,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             whose.append(owner[: len(h)][ok])
     whose = np.concatenate(whose)
     order = np.argsort(whose, kind="stable")
-    return np.concatenate(found).astype(np.int64)[order], np.searchsorted(whose[order], np.arange(len(words)))
+    return np.concatenate(found).astype(np.int32)[order], np.searchsorted(whose[order], np.arange(len(words)))
 
 
 def words_of(text: str) -> list[str]:
@@ -74,9 +79,11 @@ class Model:
         return Model, (self.value, self.bias)
 
     def word_values(self, words: list[str]) -> np.ndarray:
-        ids, starts = grams(bare(words))
-        counts = np.diff(np.append(starts, len(ids)))
-        return np.add.reduceat(self.value[ids], starts) / counts if len(words) else np.empty(0)
+        out = [np.empty(0)]
+        for o in range(0, len(words), AT_ONCE):
+            ids, starts = grams(bare(words[o : o + AT_ONCE]))
+            out.append(np.add.reduceat(self.value[ids], starts) / np.diff(np.append(starts, len(ids))))
+        return np.concatenate(out)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.value is None:
@@ -108,7 +115,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         return Model(None, float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
-    docs = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in bare(words_of(t))), np.int64) for t in texts]
+    docs = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in bare(words_of(t))), np.int32) for t in texts]
     ids, starts = grams(list(vocab))
     ends = np.append(starts[1:], len(ids))
     n_grams = ends - starts
@@ -187,6 +194,7 @@ def _score(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         texts = [t or "" for t in b.column(1).to_pylist()]
         got = [model.scores(texts[lo:hi]) for lo, hi in pieces(texts, 1 << 20)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(got) if got else np.empty(0))], ["doc_id", "score"])
+    model.memo = {}  # workers live on
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -205,6 +213,7 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
             got = [model.scores(texts[lo:hi]) for lo, hi in pieces(texts, 1 << 20)]
             ok = pa.array(np.concatenate(got) < THRESHOLD if got else np.empty(0, bool))
             yield pa.RecordBatch.from_arrays([c.filter(ok) for c in b.columns[:-1]], names=b.schema.names[:-1])
+        model.memo = {}
 
     return docs.select(*keep, text_of().alias("__text")).mapInArrow(run, docs.schema)
 

@@ -21,7 +21,7 @@ from quernstone.llm.common import U64, mix, pieces, text_of
 from quernstone.session import table
 
 #: Distinct pre-tokens that a worker remembers; beyond that it starts anew (this changes no result).
-MEMO = 400_000
+MEMO = 120_000
 CHUNK = 1 << 20
 
 
@@ -222,6 +222,7 @@ def _encoded(path: str, pattern: str, batches: Iterator[pa.RecordBatch], ids_too
                 cols.append(pa.array(out, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
+    tok._forget()  # workers live on
 
 
 def encode(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:
