@@ -32,7 +32,7 @@ from quernstone.llm.components import components
 from quernstone.session import cut, table
 
 PERCENT = 70
-CHUNK_SHINGLES, CHUNK_DOCS, MANY = 3_000_000, 60_000, 0xFFFF
+CHUNK_SHINGLES, CHUNK_DOCS, MANY = 1_000_000, 60_000, 0xFFFF
 BLOCK = 1_000_000
 NO_ID = 2**63 - 1
 _C = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
