@@ -43,14 +43,14 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b or b"" for b in column.to_pylist()]
 
 
-def pieces(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges [lo, hi) of texts of about limit bytes, at least one text each."""
+def pieces(texts: list[bytes] | list[str] | np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges [lo, hi) of texts (or of their sizes) of about limit bytes, at least one text each."""
     lo, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > limit:
+    for i, n in enumerate(texts.tolist() if isinstance(texts, np.ndarray) else map(len, texts)):
+        if held and held + n > limit:
             yield lo, i
             lo, held = i, 0
-        held += len(t) + 64
+        held += n + 64
     if lo < len(texts):
         yield lo, len(texts)
 

@@ -2,26 +2,33 @@
 pre-tokens that are in it; what misses is merged with a heap over a linked list of its bytes.
 
 Each match of the pattern is encoded separately and without special tokens, so their strings are ordinary text. Null counts as
-empty and has no tokens. Texts of any length are encoded whole. The vocabulary file's path is a parameter; the file must be
-readable at that path by every executor. Other columns play no part."""
+empty and has no tokens. Texts of any length are encoded whole. Repeated rows are encoded alike; an empty table gives an empty result;
+other columns, whatever their names, play no part. The vocabulary file's path is a parameter; the driver reads it, builds the
+hash and sends both to the workers by broadcast, whose size is the vocabulary's (a few MB), whatever the corpus.
+
+A worker remembers pre-tokens it has met. Beyond MEMO_BYTES it forgets those it has seen least, so frequent ones are never merged again;
+what is remembered changes no result."""
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
-import heapq
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import U64, mix, pieces, text_of
 from quernstone.session import table
 
-#: Distinct pre-tokens that a worker remembers; beyond that it starts anew (this changes no result).
-MEMO = 120_000
+#: Memory for the pre-tokens that a worker remembers: about WORD_BYTES and the word's length for each.
+MEMO_BYTES, WORD_BYTES = 64 << 20, 190
 CHUNK = 1 << 20
 
 
@@ -90,46 +97,80 @@ def _grown(a: np.ndarray, n: int) -> np.ndarray:
 
 
 class Tokenizer:
-    def __init__(self, path: str, pattern: str):
-        import regex
+    """Plain arrays and lists once built, so that it can be sent to workers."""
 
+    def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.split = regex.compile(pattern).findall
-        keys = list(self.ranks)
-        self.rank_of_key = np.fromiter(self.ranks.values(), np.int64, len(keys))
-        self.hash = PerfectHash(keys)
-        self.token = {r: b for b, r in self.ranks.items()}
-        self.byte = [self.ranks[bytes([i])] for i in range(256)]
-        self.pair: dict[tuple[int, int], int] = {}
-        for key, r in self.ranks.items():  # ids of the halves of each token -> its id
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        keys = list(ranks)
+        pairs = []
+        for key, r in ranks.items():  # ids of the halves of each token -> its id
             for i in range(1, len(key)):
-                a, b = self.ranks.get(key[:i]), self.ranks.get(key[i:])
+                a, b = ranks.get(key[:i]), ranks.get(key[i:])
                 if a is not None and b is not None:
-                    self.pair[a, b] = r
-        self._forget()
+                    pairs.append((a, b, r))
+        rank_of_key = np.fromiter(ranks.values(), np.int64, len(keys))
+        self.__setstate__((pattern, PerfectHash(keys), rank_of_key, [ranks[bytes([i])] for i in range(256)], np.array(pairs, np.int64).reshape(-1, 3)))
+
+    def __getstate__(self):
+        return self.pattern, self.hash, self.rank_of_key, self.byte, self.pairs
 
-    def _forget(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.flat, self.start = np.empty(1 << 16, np.uint32), np.zeros(1 << 15, np.int64)
+    def __setstate__(self, state) -> None:
+        import regex
+
+        self.pattern, self.hash, self.rank_of_key, self.byte, self.pairs = state
+        self.split = regex.compile(self.pattern).findall
+        keys, slots = self.hash.keys, np.argsort(self.hash.slot_key)
+        self.ranks = {keys[s]: r for s, r in zip(slots.tolist(), self.rank_of_key.tolist())}
+        self.token = {r: b for b, r in self.ranks.items()}
+        nothing: dict[int, int] = {}
+        self.after: list[dict[int, int]] = [nothing] * (max(self.token, default=0) + 1)  # id -> {next id -> id of both}
+        for a, b, r in self.pairs.tolist():
+            if self.after[a] is nothing:
+                self.after[a] = {}
+            self.after[a][b] = r
+        self.bytes = [[self.after[a].get(b, -1) for b in self.byte] for a in self.byte]  # the same by byte values
+        self.trim(0)
+
+    def trim(self, limit: int) -> None:
+        """Keeps what fits in limit bytes of the words seen most often; counts are halved, so that what was frequent once ages."""
+        kept: list[str] = []
+        if limit and self.memo:
+            words = list(self.memo)
+            order = np.argsort(-self.seen[: len(words)], kind="stable")
+            size = np.cumsum(np.array([WORD_BYTES + len(words[i]) for i in order]))
+            order = order[: int(np.searchsorted(size, limit, side="right"))]
+            order = order[self.seen[order] > 1]
+            kept = [words[i] for i in order]
+            first, lens = self.start[order], self.start[order + 1] - self.start[order]
+            ends = np.cumsum(lens)
+            flat = self.flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lens - first, lens)]
+            seen = self.seen[order] >> 1
+        self.memo: dict[str, int] = dict(zip(kept, range(len(kept))))
+        self.held = sum(map(len, kept)) + WORD_BYTES * len(kept)
+        self.flat, self.start, self.seen = np.empty(1 << 16, np.uint32), np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        if kept:
+            n = len(kept)
+            self.flat, self.start, self.seen = _grown(self.flat, len(flat)), _grown(self.start, n + 1), _grown(self.seen, n)
+            self.flat[: len(flat)], self.start[1 : n + 1], self.seen[:n] = flat, ends, seen
 
     def merge(self, word: bytes) -> list[int]:
         """Merges the pair of least rank, leftmost first, until none is left: a heap of (rank, left) over linked nodes. An entry
         is stale if its left node is gone or the pair there has another rank by now."""
-        byte, pair = self.byte, self.pair
-        ids = [byte[b] for b in word]
-        n = len(ids)
-        get = pair.get
-        now = [get(p, -1) for p in zip(ids, ids[1:])]  # rank of the pair that begins at a node
+        byte, two, n = self.byte, self.bytes, len(word)
+        now = [two[a][b] for a, b in zip(word, word[1:])]  # rank of the pair that begins at a node
         heap = [r * n + i for i, r in enumerate(now) if r >= 0]  # one number for (rank, left)
+        ids = [byte[b] for b in word]
         if not heap:
             return ids
         now.append(-1)
-        heapq.heapify(heap)
-        pop, push = heapq.heappop, heapq.heappush
+        heapify(heap)
+        following = self.after
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            r, i = divmod(pop(heap), n)
+            e = heappop(heap)
+            r = e // n
+            i = e - r * n
             if now[i] != r:
                 continue
             j = after[i]
@@ -137,41 +178,43 @@ class Tokenizer:
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                x = now[i] = get((r, ids[k]), -1)
+                x = now[i] = following[r].get(ids[k], -1)
                 if x >= 0:
-                    push(heap, x * n + i)
+                    heappush(heap, x * n + i)
             else:
                 now[i] = -1
             h = before[i]
             if h >= 0:
-                x = now[h] = get((ids[h], r), -1)
+                x = now[h] = following[ids[h]].get(r, -1)
                 if x >= 0:
-                    push(heap, x * n + h)
+                    heappush(heap, x * n + h)
         return [x for x in ids if x >= 0]
 
     def _learn(self, words: list[str]) -> None:
         raw = [w.encode() for w in words]
         hit = self.hash.find(raw)
-        flat, lens = [], []
+        flat, lens, merge = [], [], self.merge
         for b, r in zip(raw, np.where(hit >= 0, self.rank_of_key[hit], -1).tolist()):
             if r >= 0:
                 flat.append(r)
                 lens.append(1)
             else:
-                ids = self.merge(b)
+                ids = merge(b)
                 flat += ids
                 lens.append(len(ids))
         n = len(self.memo)
         self.memo.update(zip(words, range(n, n + len(words))))
+        self.held += sum(map(len, words)) + WORD_BYTES * len(words)
         end = int(self.start[n])
-        self.flat, self.start = _grown(self.flat, end + len(flat)), _grown(self.start, n + len(words) + 1)
+        self.flat, self.start, self.seen = _grown(self.flat, end + len(flat)), _grown(self.start, n + len(words) + 1), _grown(self.seen, n + len(words))
         self.flat[end : end + len(flat)] = flat
         self.start[n + 1 : n + len(words) + 1] = end + np.cumsum(lens)
+        self.seen[n : n + len(words)] = 0
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, as unsigned 32-bit integers, and where each text's ids end."""
-        if len(self.memo) > MEMO:
-            self._forget()
+        if self.held > MEMO_BYTES:
+            self.trim(MEMO_BYTES // 2)
         split, words, counts = self.split, [], []
         for t in texts:
             found = split(t)
@@ -182,6 +225,7 @@ class Tokenizer:
         if new:
             self._learn(list(new))
         at = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+        self.seen[: len(memo)] += np.bincount(at, minlength=len(memo))
         first = self.start[at]
         lens = self.start[at + 1] - first
         ends = np.concatenate([[0], np.cumsum(lens)])
@@ -192,51 +236,51 @@ class Tokenizer:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-_made: dict[tuple[str, str], Tokenizer] = {}
+@functools.cache
+def tokenizer(path: str, pattern: str) -> Tokenizer:
+    """One tokenizer for each driver."""
+    return Tokenizer(path, pattern)
 
 
-def tokenizer(path: str, pattern: str) -> Tokenizer:
-    """One tokenizer for each worker process."""
-    if (path, pattern) not in _made:
-        _made[path, pattern] = Tokenizer(path, pattern)
-    return _made[path, pattern]
+def sent(spark: SparkSession, path: str, pattern: str) -> Broadcast:
+    """The tokenizer as a broadcast: built by the driver, unpacked once by each worker process."""
+    return spark.sparkContext.broadcast(tokenizer(path, pattern))
 
 
-def _encoded(path: str, pattern: str, batches: Iterator[pa.RecordBatch], ids_too: bool) -> Iterator[pa.RecordBatch]:
-    tok = tokenizer(path, pattern)
+def _encoded(shared: Broadcast, ids_too: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tok = shared.value
     for b in batches:
-        texts = [t or "" for t in b.column(1).to_pylist()]
-        for lo, hi in pieces(texts, CHUNK):
-            ids, ends = tok.encode(texts[lo:hi])
-            raw, all_ids, n, sha, back, out, prev = ids.astype("<u4").tobytes(), ids.tolist(), [], [], [], [], 0
+        sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+        for lo, hi in pieces(sizes, CHUNK):
+            ids, ends = tok.encode(b.column(1).slice(lo, hi - lo).to_pylist())
+            raw, n, sha, back, prev = ids.astype("<u4").tobytes(), [], [], [], 0
             for e in ends.tolist():
                 n.append(e - prev)
                 sha.append(hashlib.sha256(raw[4 * prev : 4 * e]).hexdigest())
-                back.append(hashlib.sha256(tok.decode(all_ids[prev:e])).hexdigest())
-                if ids_too:
-                    out.append(ids[prev:e].astype(np.int32))
+                back.append(hashlib.sha256(tok.decode(ids[prev:e].tolist())).hexdigest())
                 prev = e
-            cols = [b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)]
+            cols = [b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids_too:
-                cols.append(pa.array(out, pa.list_(pa.int32())))
+                cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
-    tok._forget()  # workers live on
+    tok.trim(MEMO_BYTES // 8)  # workers live on
 
 
 def encode(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids themselves. One pass over the texts; nothing is shuffled."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return plain.mapInArrow(lambda batches: _encoded(path, pattern, batches, ids), schema)
+    return plain.mapInArrow(functools.partial(_encoded, sent(docs.sparkSession, path, pattern), ids), schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and text (bytes) from doc_id and ids; null ids give null."""
+    shared = sent(encoded.sparkSession, path, pattern)
 
     def run(batches):
-        tok = tokenizer(path, pattern)
+        tok = shared.value
         for b in batches:
             found = [None if x is None else tok.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["doc_id", "text"])

@@ -37,7 +37,7 @@ def test_ids_equal_tiktoken(tok, reference):
 
 
 def test_memo_may_be_forgotten(tok, reference, monkeypatch):
-    monkeypatch.setattr(op, "MEMO", 3)
+    monkeypatch.setattr(op, "MEMO_BYTES", 600)
     for t in ("one two three four", "five six seven", "one two"):
         assert tok.encode([t])[0].tolist() == reference.encode_ordinary(t)
 
