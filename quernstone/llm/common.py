@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its measured rows times its row width stay within this.
@@ -16,6 +19,47 @@ M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 U64 = np.uint64
 
 
+#: Bytes of an Arrow batch of texts, unless the session names its own number.
+BATCH_BYTES, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def by_bytes(spark: SparkSession) -> None:
+    """Lets Arrow batches end by bytes as well as by rows: ten thousand long texts at once would need any amount of memory, in the JVM and in the
+    worker. A number of bytes that the session has set itself stays."""
+    if _BATCH not in {k for k, _ in spark.sparkContext.getConf().getAll()} and spark.conf.get("quernstone.batches", "") != "by bytes":
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+        spark.conf.set("quernstone.batches", "by bytes")
+
+
+def tidy() -> None:
+    """Gives free memory back: workers live on, and without this each keeps the most that any of its tasks has taken."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        pass
+
+
+def tidily(f: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A map over batches that tidies up at its end."""
+
+    @functools.wraps(f)
+    def run(*args):
+        try:
+            yield from f(*args)
+        finally:
+            tidy()
+
+    return run
+
+
+def text_pieces(column: pa.Array, limit: int) -> Iterator[tuple[int, int, list[str]]]:
+    """lo, hi and the texts [lo, hi) of a column, about limit bytes at a time; null counts as empty."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for lo, hi in pieces(sizes, limit):
+        yield lo, hi, [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -13,7 +13,8 @@ What goes into the tries is made small by bounds that lose nothing:
 
 Results carry sums of links and a spanning forest, never a group's pairs. Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; with fewer
 than 3 words the whole sequence is one shingle; an empty or null text has no shingle and links with nothing. Sets are compared by 64-bit hashes of shingles.
-Repeated rows are documents of their own. A null doc_id takes part, but is a component's id only where nothing else is."""
+Repeated rows are documents of their own. A null doc_id takes part, but is a component's id only where nothing else is. Texts of any length are compared
+whole; an empty table gives an empty result; columns with other names, whatever they are, play no part."""
 
 from __future__ import annotations
 
@@ -27,14 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import U64, attach, as_bytes, may_broadcast, mix, partitions_for, pieces, text_of, word_bounds, word_hashes
+from quernstone.llm.common import U64, attach, as_bytes, by_bytes, may_broadcast, mix, partitions_for, pieces, text_of, tidily, word_bounds, word_hashes
 from quernstone.llm.components import components
 from quernstone.session import cut, table
 
 PERCENT = 70
 CHUNK_SHINGLES, CHUNK_DOCS, MANY = 1_000_000, 60_000, 0xFFFF
 BLOCK = 1_000_000
-NO_ID = 2**63 - 1
 _C = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -124,16 +124,18 @@ def _by(column: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, l
 # 1. Which documents can link at all.
 
 
+@tidily
 def _scan(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> for each chunk of documents one row of kind 0 (ids, sizes, digests, shingles known to be shared within the chunk) and for each
+    """doc_id, text, h -> for each chunk of documents one row of kind 0 (ids, which are null, h, sizes, digests, shingles known to be shared within the chunk) and for each
     bucket one of kind 1: the low 32 bits of the bucket's shingles, ascending, and the document of each (MANY: several of this chunk)."""
     part, seq = TaskContext.get().partitionId(), 0
-    ids: list[int] = []
+    ids: list[int | None] = []
+    hs: list[int] = []
     sets: list[np.ndarray] = []
     held = 0
 
     def flush() -> pa.RecordBatch:
-        nonlocal ids, sets, held, seq
+        nonlocal ids, hs, sets, held, seq
         chunk = part << 24 | seq
         n = np.array([len(s) for s in sets], np.int64)
         place = np.repeat(np.arange(len(sets), dtype=U64), n)
@@ -151,19 +153,21 @@ def _scan(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         low = (key & U64(0xFFFFFFFF)).astype(np.uint32)
         edges = np.searchsorted(key >> U64(32), np.arange(buckets + 1, dtype=U64))
         digests = np.frombuffer(b"".join(map(_digest, sets)), np.uint8)
-        rows = [(chunk % buckets, 0, chunk, _pack(np.array(ids, np.int64), n, shared, digests))]
+        lost = np.array([i is None for i in ids], np.uint8)
+        rows = [(chunk % buckets, 0, chunk, _pack(np.array([i or 0 for i in ids], np.int64), lost, np.array(hs, np.int64), n, shared, digests))]
         for k in range(buckets):
             a, b = int(edges[k]), int(edges[k + 1])
             if b > a:
                 t = low[a:b]
                 rows.append((k, 1, chunk, _planes(np.concatenate([t[:1], np.diff(t)])) + _planes(doc[a:b])))
-        ids, sets, held, seq = [], [], 0, seq + 1
+        ids, hs, sets, held, seq = [], [], [], 0, seq + 1
         return _batch(rows)
 
     for b in batches:
         texts = as_bytes(b.column(1))
-        for i, s in zip(b.column(0).to_pylist(), shingle_sets(texts)):
+        for i, h, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), shingle_sets(texts)):
             ids.append(i)
+            hs.append(h)
             sets.append(s)
             held += len(s)
             if held >= CHUNK_SHINGLES or len(sets) == CHUNK_DOCS:
@@ -172,6 +176,7 @@ def _scan(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield flush()
 
 
+@tidily
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a bucket -> for each chunk, how many shingles of each of its documents another chunk has as well. Rows of kind 0 pass."""
     for bucket, rows in _by(0, batches):
@@ -201,35 +206,42 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(out)
 
 
+@tidily
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a chunk -> doc_id, n, digest, live (whether enough of its shingles are shared)."""
+    """Rows of a chunk -> doc_id, h, n, digest, live (whether enough of its shingles are shared)."""
     for _, rows in _by(2, batches):
-        ids, n, shared, digests = _unpack(next(r[3] for r in rows if r[1] == 0), np.int64, np.int64, np.uint32, np.uint8)
+        ids, lost, hs, n, shared, digests = _unpack(next(r[3] for r in rows if r[1] == 0), np.int64, np.uint8, np.int64, np.int64, np.uint32, np.uint8)
         total = shared.astype(np.int64)
         for r in rows:
             if r[1] == 1:
                 d, c = _unpack(r[3], np.uint16, np.uint32)
                 total[d] += c
         raw = digests.tobytes()
-        cols = [pa.array(ids), pa.array(n), pa.array([raw[16 * i : 16 * i + 16] for i in range(len(ids))], pa.binary()), pa.array((n > 0) & (total >= least_overlap(n)))]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "digest", "live"])
+        cols = [pa.array(ids, mask=lost > 0), pa.array(hs), pa.array(n), pa.array([raw[16 * i : 16 * i + 16] for i in range(len(ids))], pa.binary()), pa.array((n > 0) & (total >= least_overlap(n)))]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "n", "digest", "live"])
 
 
 def _exchange(df: DataFrame, n: int, *by: str) -> DataFrame:
     return df.repartition(n, by[0]).sortWithinPartitions(*by)
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """doc_id, text, h: a hash of the text, which tells rows apart that repeat a doc_id or have none."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("h"))
+
+
 def screened(docs: DataFrame, partitions: int) -> DataFrame:
     buckets = min(0xFFFF, 3 * partitions)
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"))
+    plain = _plain(docs)
     blocks = _exchange(plain.mapInArrow(functools.partial(_scan, buckets), _ROWS), partitions, "bucket")
     counts = _exchange(blocks.mapInArrow(_count, _ROWS), partitions, "chunk")
-    return cut(counts.mapInArrow(_settle, "doc_id long, n long, digest binary, live boolean"))
+    return cut(counts.mapInArrow(_settle, "doc_id long, h long, n long, digest binary, live boolean"))
 
 
 # 2. Classes of equal sets, their shingles in the global order.
 
 
+@tidily
 def _class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """cid, n, csize, digest, text -> cid, n, csize, shingles; a row whose text has another set than its class is left out."""
     for b in batches:
@@ -241,6 +253,7 @@ def _class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*rest.columns[:3], pa.array([found[i].tobytes() for i in ok], pa.binary())], ["cid", "n", "csize", "shingles"])
 
 
+@tidily
 def _spread(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """cid, n, csize, shingles -> rows as those of _scan, with whole shingles: kind 1 for each bucket, kind 0 with the classes."""
     part, seq = TaskContext.get().partitionId(), 0
@@ -275,6 +288,7 @@ def _spread(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield flush()
 
 
+@tidily
 def _frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a bucket -> for each chunk the shingles that at least two classes have, with the number of classes."""
     for bucket, rows in _by(0, batches):
@@ -295,6 +309,7 @@ def _frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(out)
 
 
+@tidily
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a chunk -> cid, n, csize, shared shingles in the global order (rarest first, then by hash), their frequencies."""
     for _, rows in _by(2, batches):
@@ -316,6 +331,7 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # 3. Components of classes that share a shingle of their prefixes.
 
 
+@tidily
 def _prefixes(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         heads, cids = [], []
@@ -332,6 +348,7 @@ def _prefixes(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         yield _batch([(k, 1, 0, _pack(t[own], c[own])) for k in range(buckets) if len(own := order[edges[k] : edges[k + 1]])])
 
 
+@tidily
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each shingle of a bucket, edges from one class that has it in its prefix to the others; each edge once."""
     for _, rows in _by(0, batches):
@@ -443,6 +460,7 @@ def _join(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
         yield int(cid[i]), int(links[i]), int(cid[tops[i]])
 
 
+@tidily
 def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, rows in _by(0, batches):
         found = list(_join(rows))
@@ -482,17 +500,19 @@ def _planned(seqs: DataFrame, member: DataFrame, partitions: int, block: int) ->
     return small.unionByName(large).repartition(partitions, "task").sortWithinPartitions("task")
 
 
-def link(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, n_similar, component_id of every row."""
+def linked(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, h, n, n_similar, and of every row's component least: null_id, doc_id and h of its first row (rows without doc_id come last)."""
+    by_bytes(docs.sparkSession)
     partitions = partitions_for(docs.select("doc_id", "text"))
     buckets = min(0xFFFF, 3 * partitions)
     every = screened(docs, partitions)
-    grouped = every.where("live").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("csize"), F.max("n").alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "h")
+    grouped = every.where("live").groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("csize"), F.max("n").alias("n"))
     classes = cut(grouped.withColumn("cid", F.monotonically_increasing_id()))
     n_classes = classes.count()
-    wanted = classes.select(F.col("first").alias("__first"), "cid", "n", "csize", "digest")
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id"), text_of().alias("__text"))
-    chosen = plain.join(may_broadcast(wanted, n_classes, 64), F.col("__id") == F.col("__first")).select("cid", "n", "csize", "digest", "__text")
+    wanted = classes.select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h"), "cid", "n", "csize", "digest")
+    own = (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    chosen = _plain(docs).join(may_broadcast(wanted, n_classes, 72), own).select("cid", "n", "csize", "digest", "text")
     sets = cut(chosen.mapInArrow(_class_sets, "cid long, n long, csize long, shingles binary"))
     if sets.count() > n_classes:  # rows that repeat a doc_id and its text
         sets = cut(sets.dropDuplicates(["cid"]))
@@ -505,20 +525,35 @@ def link(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     sums = found.groupBy("cid").agg(F.sum("links").alias("links"))
     top = components(found.where("cid <> other").select(F.col("cid").alias("a"), F.col("other").alias("b"))).toDF("cid", "top")
     full = cut(classes.join(sums, "cid", "left").join(top, "cid", "left").withColumn("top", F.coalesce("top", "cid")))
-    least = full.groupBy("top").agg(F.min("first").alias("component_id"))
-    info = cut(full.join(least, "top").select("digest", "csize", (F.col("csize") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), "component_id"))
+    least = full.groupBy("top").agg(F.min("first").alias("least"))
+    info = cut(full.join(least, "top").select("digest", "csize", (F.col("csize") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), "least"))
     total = every.count()
     some = attach(every.where("live"), info, "digest", total, count="csize")
-    none = every.where("not live").select("doc_id", "n", F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id"))
-    out = some.select("doc_id", "n", "n_similar", "component_id").unionByName(none)
-    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(known("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("n_similar").cast("long").alias("n_similar"), known("component_id").alias("component_id"))
+    none = every.where("not live").select("doc_id", "h", "n", F.lit(0).cast("long").alias("n_similar"), place.alias("least"))
+    return some.select("doc_id", "h", "n", F.col("n_similar").cast("long").alias("n_similar"), "least").unionByName(none)
+
+
+def link(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, n_similar, component_id of every row."""
+    return linked(docs, block).select("doc_id", F.col("n").alias("n_shingles"), "n_similar", F.col("least.doc_id").alias("component_id"))
 
 
 def thin(docs: DataFrame) -> DataFrame:
-    """The rows of docs without those that are in a component of a smaller doc_id: one document of each group stays."""
-    drop = cut(link(docs).where("component_id < doc_id").select("doc_id").distinct())
-    return docs.join(may_broadcast(drop, drop.count(), 16), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component: the one with the smallest doc_id (rows without doc_id come last), of several such the one whose text has the least hash, of
+    equal rows any. Rows that are linked with nothing all stay."""
+    found = cut(linked(docs).where("n_similar > 0").select("doc_id", "h", ((F.col("h") == F.col("least.h")) & F.col("doc_id").eqNullSafe(F.col("least.doc_id"))).alias("stays")))
+    rows = found.groupBy("doc_id", "h").agg(F.count("*").alias("n"), F.max("stays").alias("stays"))
+    gone, twins = rows.where("not stays"), rows.where("stays and n > 1")
+    n_gone, n_twins = rows.agg(F.count_if(~F.col("stays")), F.count_if(F.expr("stays and n > 1"))).first()
+
+    def only(df: DataFrame, keys: DataFrame, n: int, how: str) -> DataFrame:
+        keys = may_broadcast(keys.select(F.col("doc_id").alias("__id"), F.col("h").alias("__of")), n, 24)
+        return df.join(keys, (F.col("__h") == F.col("__of")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), how)
+
+    kept = only(docs.withColumn("__h", F.xxhash64(text_of())), gone, n_gone, "left_anti")
+    if n_twins:
+        kept = only(kept, twins, n_twins, "left_anti").unionByName(only(kept, twins, n_twins, "left_semi").dropDuplicates(["doc_id", "__h"]))
+    return kept.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

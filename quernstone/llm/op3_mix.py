@@ -7,20 +7,22 @@ buckets at a time.
 
 Nothing depends on the cluster: buckets come from hashes of doc_id and their number from the number of rows, so reruns agree.
 Null text has size 0; a null source is a source, the last. Rows that share doc_id and source count as one document of their
-joint size and get the same number of copies. Documents of size 0 take no words; each is rounded by itself. A source without
+joint size and get the same number of copies; rows without doc_id are documents of their own, numbered by their place in the input. Texts of any
+length count whole; columns with other names, whatever they are, play no part. Documents of size 0 take no words; each is rounded by itself. A source without
 any words has target 0 and keeps its documents once. An empty table gives an empty result."""
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import attach, as_bytes, may_broadcast, pieces, text_of, word_bounds
+from quernstone.llm.common import attach, as_bytes, by_bytes, may_broadcast, pieces, text_of, tidily, word_bounds
 from quernstone.session import cut, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -29,6 +31,7 @@ BUCKET_ROWS, FAN = 100_000, 64
 MASK = 2**64 - 1
 
 
+@tidily
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column of each batch becomes its number of words."""
     for b in batches:
@@ -41,11 +44,24 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(counts)], [*b.schema.names[:-1], "size"])
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """docs with __unit: a number for each row without doc_id, which then stands in the shared folder so that it keeps its number; null for the others."""
+    by_bytes(docs.sparkSession)
+    lost = docs.where("doc_id is null")
+    if lost.isEmpty():
+        return docs.withColumn("__unit", F.lit(None).cast("long"))
+    return docs.where("doc_id is not null").withColumn("__unit", F.lit(None).cast("long")).unionByName(cut(lost.withColumn("__unit", F.monotonically_increasing_id())))
+
+
+def _skey() -> Column:
+    """Sorts as the source does, null last."""
+    return F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, skey, size) of each row, in the shared folder. skey sorts as the source does, null last."""
-    skey = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), skey.alias("skey"), text_of().alias("text"))
-    return cut(plain.mapInArrow(word_counts, "doc_id long, skey string, size long"))
+    """(doc_id, unit, skey, size) of each row of marked(), in the shared folder."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__unit").alias("unit"), _skey().alias("skey"), text_of().alias("text"))
+    return cut(plain.mapInArrow(word_counts, "doc_id long, unit long, skey string, size long"))
 
 
 def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -68,7 +84,7 @@ def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
     return s.select("skey", "n_rows", "source_size", F.least(F.lit(most) * F.col("source_size"), F.lit(level) * F.col("w")).alias("target"))
 
 
-_OUT = "bucket long, skey string, doc_id long, size long, h long, whole long, p double, copies long"
+_OUT = "bucket long, skey string, doc_id long, unit long, size long, h long, whole long, p double, copies long"
 
 
 def _draw(a: int, b: int) -> float:
@@ -79,43 +95,44 @@ def _draw(a: int, b: int) -> float:
     return ((x ^ (x >> 31)) >> 11) / 2**53
 
 
+@tidily
 def _pivot(last: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by bucket, source and falling size (so that large documents are settled against many small ones, and what
     is left over is small): settles all of a bucket's documents of a source but at most one, whose copies stay
     null unless it is the last level."""
-    held = None  # the fraction carried: [bucket, skey, doc_id, size, h, whole, p]
+    held = None  # the fraction carried: [bucket, skey, doc_id, unit, size, h, whole, p]
 
     def settled(row: list, one: bool) -> tuple:
-        return (*row[:6], 0.0, row[5] + one)
+        return (*row[:7], 0.0, row[6] + one)
 
     def left(row: list) -> tuple:
-        return settled(row, _draw(row[4], 7) < row[6]) if last else (*row, None)
+        return settled(row, _draw(row[5], 7) < row[7]) if last else (*row, None)
 
     for b in batches:
         out: list[tuple] = []
         for row in zip(*(c.to_pylist() for c in b.columns)):
             row = list(row)
-            p, size = row[6], row[3]
+            p, size = row[7], row[4]
             if p < 1e-9 or p > 1 - 1e-9 or not size:
-                out.append(settled(row, _draw(row[4], 3) < p if 1e-9 <= p <= 1 - 1e-9 else p > 0.5))
+                out.append(settled(row, _draw(row[5], 3) < p if 1e-9 <= p <= 1 - 1e-9 else p > 0.5))
                 continue
             if held is None or held[:2] != row[:2]:
                 if held is not None:
                     out.append(left(held))
                 held = row
                 continue
-            a, q = held[3], held[6]  # words are moved between held and row
+            a, q = held[4], held[7]  # words are moved between held and row
             up, down = min((1 - q) * a, p * size), min(q * a, (1 - p) * size)
-            if _draw(held[4], row[4]) < down / (up + down):
-                held[6], row[6] = q + up / a, p - up / size
+            if _draw(held[5], row[5]) < down / (up + down):
+                held[7], row[7] = q + up / a, p - up / size
             else:
-                held[6], row[6] = q - down / a, p + down / size
+                held[7], row[7] = q - down / a, p + down / size
             rest = None
             for x in (held, row):
-                if 1e-9 < x[6] < 1 - 1e-9:
+                if 1e-9 < x[7] < 1 - 1e-9:
                     rest = x
                 else:
-                    out.append(settled(x, x[6] > 0.5))
+                    out.append(settled(x, x[7] > 0.5))
             held = rest
         yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r)) for r in out], schema=_SCHEMA)
     if held is not None:
@@ -127,23 +144,23 @@ _SCHEMA = pa.schema([(n, pa.string() if n == "skey" else pa.float64() if n == "p
 
 
 def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows of sized(); for each doc_id and skey its unit_copies; the table of targets()."""
+    """Of the rows of marked(): those of sized(); for each doc_id, unit and skey its unit_copies; the table of targets()."""
     rows = sized(docs)
     per_source = cut(targets(rows, weights, most))
-    units = rows.groupBy("doc_id", "skey").agg(F.sum("size").alias("size"))
+    units = rows.groupBy("doc_id", "unit", "skey").agg(F.sum("size").alias("size"))
     n = per_source.agg(F.sum("n_rows")).first()[0] or 0
     buckets = max(1, math.ceil(n / BUCKET_ROWS))
     f = F.when(F.col("source_size") == 0, F.lit(1.0)).otherwise(F.col("target") / F.col("source_size"))
-    rated = attach(units, per_source, "skey", n, count="n_rows").withColumns({"h": F.xxhash64("doc_id", "skey", F.lit(seed)), "f": f})
+    rated = attach(units, per_source, "skey", n, count="n_rows").withColumns({"h": F.xxhash64("doc_id", "unit", "skey", F.lit(seed)), "f": f})
     start = rated.select(
-        F.pmod(F.xxhash64("doc_id", F.lit(0)), F.lit(buckets)).alias("bucket"), "skey", "doc_id", "size", "h", F.floor("f").alias("whole"), (F.col("f") - F.floor("f")).alias("p")
+        F.pmod(F.xxhash64("doc_id", "unit", F.lit(0)), F.lit(buckets)).alias("bucket"), "skey", "doc_id", "unit", "size", "h", F.floor("f").alias("whole"), (F.col("f") - F.floor("f")).alias("p")
     )
     done, level = None, start
     while True:
         last = buckets == 1
-        ordered = level.repartition("bucket").sortWithinPartitions("bucket", "skey", F.desc("size"), "doc_id")
-        out = cut(ordered.mapInArrow(lambda x, last=last: _pivot(last, x), _OUT))
-        some = out.where("copies is not null").select("doc_id", "skey", F.col("copies").alias("unit_copies"))
+        ordered = level.repartition("bucket").sortWithinPartitions("bucket", "skey", F.desc("size"), "doc_id", "unit")
+        out = cut(ordered.mapInArrow(functools.partial(_pivot, last), _OUT))
+        some = out.where("copies is not null").select("doc_id", "unit", "skey", F.col("copies").alias("unit_copies"))
         done = some if done is None else done.unionByName(some)
         if last:
             break
@@ -152,23 +169,28 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
     return rows, done, per_source
 
 
+def _with_copies(rows: DataFrame, units: DataFrame, doc_id: Column, unit: Column, skey: Column, n: int) -> DataFrame:
+    """rows joined with the copies of their units, of which there are n at most; the units' columns begin with __."""
+    units = units.select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "skey", "unit_copies")), F.col("unit").alias("__of"))
+    return rows.join(may_broadcast(units, n, 72), doc_id.eqNullSafe(F.col("__doc_id")) & unit.eqNullSafe(F.col("__of")) & (skey == F.col("__skey")))
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row."""
-    rows, units, per_source = copies(docs)
+    rows, units, per_source = copies(marked(docs))
     n = per_source.agg(F.sum("n_rows")).first()[0] or 0
-    joined = rows.join(units, (rows["doc_id"].eqNullSafe(units["doc_id"])) & (rows["skey"] == units["skey"])).select(rows["doc_id"], rows["skey"], "size", "unit_copies")
+    joined = _with_copies(rows, units, F.col("doc_id"), F.col("unit"), F.col("skey"), n).select("doc_id", "skey", "size", "__unit_copies")
     full = attach(joined, per_source, "skey", n, count="n_rows")
-    return full.select("doc_id", "size", "source_size", "target", (F.col("unit_copies") * F.col("size")).cast("long").alias("taken"), F.col("unit_copies").alias("copies"))
+    return full.select("doc_id", "size", "source_size", "target", (F.col("__unit_copies") * F.col("size")).cast("long").alias("taken"), F.col("__unit_copies").alias("copies"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as many times as the mix takes it."""
-    _, units, per_source = copies(docs)
+    all_rows = marked(docs)
+    _, units, per_source = copies(all_rows)
     n = per_source.agg(F.sum("n_rows")).first()[0] or 0
-    skey = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
-    units = units.where("unit_copies > 0").select(F.col("doc_id").alias("__id"), F.col("skey").alias("__skey"), F.col("unit_copies").alias("__copies"))
-    taken = docs.join(may_broadcast(units, n, 64), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (skey == F.col("__skey")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    taken = _with_copies(all_rows, units.where("unit_copies > 0"), F.col("doc_id").cast("long"), F.col("__unit"), _skey(), n)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__unit_copies").cast("int")))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ winners' groups are settled at the map side from a broadcast table of at most CO
 
 Texts are equal when identical after lower-casing A-Z only. Null text counts as empty, and empty texts form a group like any
 other. The row with the largest doc_id stays; a null doc_id counts as smaller than any other; of rows that repeat a doc_id
-within a group one (any) stays. Other columns are ignored by `classify`, and kept by `deduplicate`, whatever their names.
+within a group one (any) stays. Texts of any length are compared whole. Other columns are ignored by `classify`, and kept by `deduplicate`, whatever their names.
 An empty table gives an empty result."""
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import as_bytes, may_broadcast, text_of
+from quernstone.llm.common import as_bytes, by_bytes, may_broadcast, text_of, tidily
 from quernstone.session import cut, table
 
 #: Counters of a sketch. A digest that more than 2 / COUNTERS of all rows have is always among the candidates.
-COUNTERS = 256
+COUNTERS = 4096
 
 
+@tidily
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         # bytes.lower() changes A-Z alone
@@ -51,6 +52,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(docs: DataFrame) -> DataFrame:
     """(uid, doc_id, digest, head) of each row, in the shared folder."""
+    by_bytes(docs.sparkSession)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_digest, "doc_id long, digest binary")
     head = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
     return cut(found.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "digest", head.alias("head")))

@@ -19,12 +19,11 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import U64, mix, pieces, text_of
+from quernstone.llm.common import U64, by_bytes, mix, text_of, text_pieces, tidily
 from quernstone.session import table
 
 #: Memory for the pre-tokens that a worker remembers: about WORD_BYTES and the word's length for each.
@@ -247,12 +246,12 @@ def sent(spark: SparkSession, path: str, pattern: str) -> Broadcast:
     return spark.sparkContext.broadcast(tokenizer(path, pattern))
 
 
+@tidily
 def _encoded(shared: Broadcast, ids_too: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tok = shared.value
     for b in batches:
-        sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
-        for lo, hi in pieces(sizes, CHUNK):
-            ids, ends = tok.encode(b.column(1).slice(lo, hi - lo).to_pylist())
+        for lo, hi, texts in text_pieces(b.column(1), CHUNK):
+            ids, ends = tok.encode(texts)
             raw, n, sha, back, prev = ids.astype("<u4").tobytes(), [], [], [], 0
             for e in ends.tolist():
                 n.append(e - prev)
@@ -270,6 +269,7 @@ def _encoded(shared: Broadcast, ids_too: bool, batches: Iterator[pa.RecordBatch]
 
 def encode(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids themselves. One pass over the texts; nothing is shuffled."""
+    by_bytes(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return plain.mapInArrow(functools.partial(_encoded, sent(docs.sparkSession, path, pattern), ids), schema)

@@ -77,3 +77,28 @@ def test_thin_keeps_one_of_each_group(docs_of):
     kept = op.thin(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _, _, c in brute(rows) if d == c)
+
+
+def test_rows_without_id_and_the_largest_id(docs_of):
+    rows = [(None if i % 3 else i, t) for i, t in near_copies(1)] + [(2**63 - 1, "the last id there is"), (None, "a row alone with no id")]
+    rows += [(5, rows[0][1]), (5, rows[0][1] + " more")]
+    assert got(op.link(docs_of(rows))) == brute(rows)
+
+
+def test_thin_without_ids_and_with_repeated_ones(docs_of):
+    group = [" ".join(f"g{g}w{k}" for k in range(30)) for g in range(4)]
+    rows = [(None, group[0] + f" x{i}") for i in range(6)]  # none has an id: one stays
+    rows += [(None, group[1])] * 3 + [(9, group[1] + " y"), (4, group[1] + " z")]  # 4 stays
+    rows += [(7, group[2] + " a"), (7, group[2] + " b"), (7, group[2] + " a")]  # one row of id 7 stays
+    rows += [(None, group[3])] * 5 + [(None, None)] * 3 + [(None, "alone one two three")]  # one; all three; it
+    docs = docs_of(rows)
+    kept = op.thin(docs)
+    assert kept.columns == docs.columns
+    found = [(r["doc_id"], (r["text"] or "")[:4]) for r in kept.collect()]
+    assert sorted(found, key=repr) == sorted([(None, "g0w0"), (4, "g1w0"), (7, "g2w0"), (None, "g3w0"), (None, ""), (None, ""), (None, ""), (None, "alon")], key=repr)
+
+
+def test_hot_texts_without_id(docs_of):
+    rows = [(None, "the same hot text without any id " * 3)] * 400 + [(None, f"row {i} of many with no id {i * 3}") for i in range(300)]
+    assert got(op.link(docs_of(rows))) == sorted([(None, 7, 399, None)] * 400 + [r for r in brute(rows[400:])], key=repr)
+    assert op.thin(docs_of(rows)).count() == 301

@@ -55,7 +55,7 @@ def test_expectation_is_kept():
     import pyarrow as pa
 
     for h in range(2000):
-        rows = pa.RecordBatch.from_arrays([pa.array([0, 0]), pa.array(["s", "s"]), pa.array([1, 2]), pa.array([4, 4]), pa.array([h * 7919, h * 104729 + 1]), pa.array([0, 0]), pa.array([0.25, 0.75])], op._NAMES[:7])
+        rows = pa.RecordBatch.from_arrays([pa.array([0, 0]), pa.array(["s", "s"]), pa.array([1, 2]), pa.array([None, None], pa.int64()), pa.array([4, 4]), pa.array([h * 7919, h * 104729 + 1]), pa.array([0, 0]), pa.array([0.25, 0.75])], op._NAMES[:8])
         out = [r for b in op._pivot(True, iter([rows])) for r in b.to_pylist()]
         assert sum(r["copies"] for r in out) == 1
         ups += next(r["copies"] for r in out if r["doc_id"] == 1)
@@ -78,3 +78,18 @@ def test_mixed_rows(docs_of):
     assert out.columns == docs.columns
     got = [r["doc_id"] for r in out.collect()]
     assert {i: got.count(i) for i in copies if copies[i]} == {i: n for i, n in copies.items() if n}
+
+
+def test_rows_without_id_are_documents_of_their_own(docs_of):
+    rows = [(None, "w " * (1 + i % 7), "a") for i in range(300)] + [(None, "w w", "b")] * 200 + [(i, "w " * 9, "b") for i in range(30)] + [(None, None, None)] * 5
+    docs = docs_of(rows)
+    want = waterfill({s: sum((t or "").count("w") for _, t, x in rows if x == s) for s in ("a", "b", None)}, op.WEIGHTS)
+    got = op.mix(docs).collect()
+    assert len(got) == len(rows)
+    for size, target in {(r["source_size"], r["target"]) for r in got}:
+        if size:
+            own = [r for r in got if r["source_size"] == size]
+            assert abs(sum(r["taken"] for r in own) - target) <= 9 and abs(target - min(want.values(), key=lambda x: abs(x - target))) < 1e-6
+    assert len({r["copies"] for r in got if r["doc_id"] is None and r["size"] == 2}) > 1  # equal rows are drawn one by one
+    out = op.mixed(docs)
+    assert out.columns == docs.columns and out.count() == sum(r["copies"] for r in got)

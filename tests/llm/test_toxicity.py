@@ -37,6 +37,59 @@ def test_learns_on_held_out_rows_and_misspellings():
     assert model.scores([""]).tolist() == [0.0]
 
 
+def test_scores_by_brute_force():
+    """Each score from embeddings, softmax and words, one by one."""
+    rng = np.random.default_rng(3)
+    emb, soft, bias = rng.normal(size=(1 << op.BITS, 4)), rng.normal(size=(2, 4)), rng.normal(size=2)
+    model = op.Model(emb @ (soft[1] - soft[0]), float(bias[1] - bias[0]))
+    texts = [t for _, t, _ in corpus(40, 5)] + ["one", "Two, words!", "bad bad bad fine", "é ☃ ... <>", ""]
+    for text, got in zip(texts, model.scores(texts)):
+        odds = []
+        for w in text.lower().split():
+            ids, _ = op.grams([w.strip(op._edge) or w])
+            odds.append((soft @ emb[ids].mean(0)).tolist())
+        odds.sort(key=lambda z: z[0] - z[1])
+        worst = np.array(odds[: op.WORST])
+        want = 0.0 if not len(worst) else np.exp(worst.mean(0) + bias)[1] / np.exp(worst.mean(0) + bias).sum()
+        assert abs(got - want) < 1e-9
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(4)
+    emb, soft, bias = rng.normal(size=(9, 3)), rng.normal(size=(2, 3)), rng.normal(size=2)
+    flat, whose, y = rng.integers(0, 7, 20), np.sort(rng.integers(0, 4, 20)), np.array([1, 0, 0, 1])
+    share = 1 / np.bincount(whose, minlength=4)[whose]
+    _, d_soft, d_bias, where, d_emb = op.gradients(emb, soft, bias, flat, share, whose, y)
+    full = np.zeros_like(emb)
+    full[where] = d_emb
+    for param, grad in ((emb, full), (soft, d_soft), (bias, d_bias)):
+        for i in np.ndindex(param.shape):
+            was, step, losses = param[i], 1e-6, []
+            for sign in (1, -1):
+                param[i] = was + sign * step
+                losses.append(op.gradients(emb, soft, bias, flat, share, whose, y)[0])
+            param[i] = was
+            assert abs((losses[0] - losses[1]) / (2 * step) - grad[i]) < 1e-6
+
+
+def test_one_clean_word_that_looks_bad_is_not_enough():
+    model = op.Model(np.zeros(1 << op.BITS), 0.0)
+    model.memo = {"bad": 9.0, "fine": -6.0}
+    scores = model.scores(["fine bad fine", "bad fine bad fine", "bad", "bad " * 50_000, "fine " * 50_000 + "bad bad bad"])
+    assert (scores >= op.THRESHOLD).tolist() == [False, True, True, True, True]
+
+
+def test_repeated_ids_and_long_texts_are_learned(spark, docs_of):
+    rows = corpus(200, 6)
+    long = [(i, t + " tare" * 40_000, y) for i, t, y in rows[:20]]
+    docs = docs_of([(i, t) for i, t, _ in long + rows[20:] + rows[20:]] + [(7, "zz another text of the same id")])
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    once = docs_of([(i, t) for i, t, _ in long + rows[20:]])
+    assert np.allclose(op.fit(docs, labels).value, op.fit(once, labels).value)
+    small = op.fit(docs, labels, rows=20)
+    assert small.value is not None
+
+
 def test_fit_score_query_columns(spark, docs_of, hard):
     rows = corpus(300, 2)
     docs = docs_of([(i, t) for i, t, _ in rows])
@@ -64,4 +117,4 @@ def test_labels_of_one_class_or_none(spark, docs_of, hard):
 
 def test_grams_cover_every_word():
     ids, starts = op.grams(["", "a", "ab", "abcdef"])
-    assert np.diff(np.append(starts, len(ids))).tolist() == [1, 1, 3, 15]
+    assert np.diff(np.append(starts, len(ids))).tolist() == [1, 1, 3, sum(8 - n + 1 for n in op.GRAMS)]
