@@ -1,5 +1,10 @@
 """A training corpus from documents, in five stages, each an operator of quernstone.llm. A stage takes (spark, docs, sf_dir) and works on all that its
-predecessor kept; run() writes each result as Parquet into the shared folder and reads it again as the next one's docs."""
+predecessor kept; run() writes each result as Parquet into the shared folder and reads it again as the next one's docs. A stage's files are deleted
+as soon as the next one has been written; the last one's are the result.
+
+All stages bear nulls in any column, empty and very long texts, repeated rows and ids, columns of any other name (these are kept up to the last
+stage) and an empty table, each as its operator's docstring says: empty and null texts aren't toxic, form one group of equal texts, link with nothing, take no words
+and have no ids; rows without doc_id are never learned from and are documents of their own."""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm import op1_toxicity, op2_jaccard, op3_mix, op5_dedup, op8_bpe
-from quernstone.session import shared_dir, table
+from quernstone.session import delete, shared_dir, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document of the mix."""
-    return op8_bpe.encode(docs, *op8_bpe.public())
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of each document of the mix."""
+    return op8_bpe.encode(docs, *op8_bpe.public(), ids=True)
 
 
 STAGES = [
@@ -49,10 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's result over documents, read from the shared folder."""
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
