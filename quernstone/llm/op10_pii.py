@@ -82,7 +82,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _brackets = str.maketrans("", "", "()[]{}<>.,;:'\"!?#$%&*|")
 _cues = {"tel": "TEL", "telephone": "TEL", "phone": "TEL", "mobile": "TEL", "call": "TEL", "fax": "TEL", "card": "CARD", "visa": "CARD", "mastercard": "CARD", "email": "MAIL", "mail": "MAIL", "e-mail": "MAIL", "ip": "IP", "host": "IP"}
-_outside = re.compile(r"^[^\w(\[{+@]+|[^\w)\]}]+$")
 _tops = "com org net edu gov io info co uk de fr es eu".split()
 _ends = frozenset(_tops)
 
@@ -92,6 +91,16 @@ def plain(word: str) -> bool:
     return not re.search(r"[0-9@(\[{]", word) and word not in ("dot", "DOT", "Dot")
 
 
+def _core(word: str) -> str:
+    """word without signs at its ends, but for those that a span may begin or end with."""
+    a, b = 0, len(word)
+    while a < b and not (word[a].isalnum() or word[a] in "_([{+@"):
+        a += 1
+    while a < b and not (word[b - 1].isalnum() or word[b - 1] in "_)]}"):
+        b -= 1
+    return word[a:b]
+
+
 def features(word: str) -> tuple[str, ...]:
     low = word.lower()
     bare = low.translate(_brackets)
@@ -100,7 +109,7 @@ def features(word: str) -> tuple[str, ...]:
         return ("SEP" + bare, "SEP" + bare + ("[" if low.strip(".,;:!?") != bare else ""))
     if plain(word):
         return ("PLAIN", "cue" + cue) if cue else ("PLAIN", "end") if bare in _ends else ("PLAIN",)
-    core = _outside.sub("", low)
+    core = _core(low)
     shape = re.sub(r"[0-9]", "d", re.sub(r"[^\W\d_]+", "x", core))
     n = shape.count("d")
     short = re.sub(r"d+", "d", shape)
