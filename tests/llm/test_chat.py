@@ -1,6 +1,9 @@
 import hashlib
+import os
 import random
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from quernstone.llm import op4_chat as op
@@ -60,3 +63,56 @@ def test_ties_and_repeats(spark):
     rows = [(1, 0, "message", None, "user", "b"), (1, 0, "message", None, "user", "a"), (1, 0, "message", None, "user", "a"), (1, 0, "message", None, "assistant", "z")]
     got = op.summary(spark.createDataFrame(rows, LOG)).first()
     assert tuple(got)[1:] == brute({1: [("assistant", "z"), ("user", "a"), ("user", "a"), ("user", "b")]})[1]
+
+
+def test_reader_of_pieces_cut_anywhere():
+    rng = random.Random(6)
+    bits = [*op.CONTROL, "\\", "<", "[", "s>", "é", "word "]
+    for _ in range(300):
+        turns = [(rng.choice(["user", "assistant", "system", "", "tool", "[ROLE]"]), "".join(rng.choice(bits) for _ in range(rng.randrange(12)))) for _ in range(rng.randrange(6))]
+        whole = "".join(op.render(*t)[0] for t in turns)
+        reader, got, at = op.Reader(), [], 0
+        while at < len(whole):
+            n = rng.randrange(1, 12)
+            got += reader.feed(whole[at : at + n])
+            at += n
+        got += reader.feed("", last=True)
+        assert [(r, op.unescape(raw)) for r, raw, _ in got] == turns
+        assert all(whole[at : at + len(raw)] == raw for _, raw, at in got)
+
+
+@pytest.mark.parametrize("broken", ["x", "[INST]a", "[INST]a</s>", "</s>", "<s>a</s>b", "[ROLE]x[/ROLE]", "[SAYS]"])
+def test_broken_conversations_are_noticed(broken):
+    with pytest.raises(ValueError):
+        op.parse(broken)
+
+
+def test_streamed_log_folds_into_the_turns(spark):
+    rng = random.Random(7)
+    texts = ["", None, "a", "ab", "é☃ 😀 long " * 900, op.ATTACK, "x" * 19, "y" * 400_000]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "tool", None]), rng.choice(texts)) for c in (*range(12), None) for t in (*range(5), 3, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "7 as msg", "8 as kind", "9 as step")
+    log = op.streamed(df)
+    assert {"delta", "edit", "regenerate", "message"} == {r["kind"] for r in log.select("kind").distinct().collect()}
+    got = sorted((tuple(r) for r in op.messages(log).collect()), key=repr)
+    assert got == sorted(((c, t, r or "", x or "") for c, t, r, x in rows), key=repr)
+    conversations = {}
+    for c, t, r, x in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, (r[2] or "").encode(), (r[3] or "").encode())):
+        conversations.setdefault(c, []).append((r or "", x or ""))
+    assert {r[0]: tuple(r)[1:] for r in op.summary(log).collect()} == brute(conversations)
+
+
+def test_query_with_its_sql_and_the_extra_conversation(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.exists(folder):
+        pytest.skip("no test data")
+    df = op.query(spark, folder)
+    got = {r["conv_id"]: tuple(r[c] for c in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")) for r in df.collect()}
+    db = duckdb.connect()
+    db.execute(f"create view conversations as select * from '{folder}/conversations.parquet'")
+    want = db.sql(op.SQL)
+    rows = [dict(zip(want.columns, r)) for r in want.fetchall()]
+    assert got == {r["conv_id"]: tuple(r[c] for c in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")) for r in rows}
+    assert got[-1] == brute({-1: [("user", op.ATTACK), ("assistant", op.ATTACK)]})[-1]
+    plan = df._jdf.queryExecution().toString()
+    assert plan.count("hashpartitioning(conv_id") >= 2  # the fold's exchange and the conversations'

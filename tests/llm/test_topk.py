@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from quernstone.llm import op7_topk as op
@@ -32,6 +33,47 @@ def test_against_brute_force(spark, monkeypatch, d):
     assert got(op.top_k(df, 20, 5)) == brute(rows, 20, 5)
 
 
+@pytest.mark.parametrize("block,centroids", [(10**6, 1), (60, 7), (9, 40)])
+def test_many_blocks_repeated_ids_and_ties(spark, monkeypatch, block, centroids):
+    rng = random.Random(block)
+    centres = [[rng.gauss(0, 0.2) for _ in range(12)] for _ in range(5)]
+    rows = [(rng.randrange(300), [round(c + rng.gauss(0, 0.01), 2) for c in centres[min(4, rng.randrange(9))]]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as cell", "2 as block")
+    monkeypatch.setattr(op, "BLOCK", block)
+    monkeypatch.setattr(op, "CENTROIDS", centroids)
+    monkeypatch.setattr(op, "TILE", 16)
+    monkeypatch.setattr(op, "ROWS_EACH", 1)
+    assert got(op.top_k(df, 10, 5)) == brute(rows, 10, 5)
+
+
+def test_bounds_leave_few_pairs_of_clustered_data(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 0.125, (40, 64))[rng.integers(0, 40, 20_000)] + rng.normal(0, 0.02, (20_000, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    tally = spark.sparkContext.accumulator(0)
+    found = got(op.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 500, 5, tally))
+    f = np.floor(256 * x)
+    scores = f[::500] @ f.T
+    scores[np.arange(40), np.arange(0, 20_000, 500)] = -np.inf
+    want = [(500 * i, r, int(j), int(scores[i, j])) for i in range(40) for r, j in enumerate(np.lexsort((np.arange(20_000), -scores[i]))[:5], 1)]
+    assert found == want
+    assert tally.value < 0.2 * 40 * 20_000
+
+
+def test_a_score_beyond_long_is_an_error(spark):
+    df = spark.createDataFrame([(i, [1e9, 1e9]) for i in (50, 100, 3)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="larger than a long"):
+        op.top_k(df).collect()
+
+
+def test_envelopes_admit_every_vector():
+    rng = np.random.default_rng(2)
+    for d in (1, 5, 37, 64):
+        x, c, q = (rng.integers(-300, 300, (n, d)).astype(float) for n in (50, 1, 80))
+        bound = op.admits(q, c, op.envelope(x, c[0])[None])
+        assert (bound[:, 0] >= (q @ x.T).max(1)).all()
+
+
 def test_hard_cases(spark):
     rows = [(0, [1.0, -2.0]), (50, None), (100, [None, 1.0]), (150, [float("nan"), 1.0]), (200, [float("inf"), 1.0]), (3, [1.0, -2.0]), (2, [1.0, -2.0]), (None, [9.0, 9.0]), (250, []), (5, [1.0, 0.5, 7.0]), (4, [1e9, -1e9]), (300, [1e9, 1e9])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -43,8 +85,6 @@ def test_hard_cases(spark):
 
 
 def test_bounds_never_fall_short():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     x = rng.integers(-300, 300, (200, 37)).astype(float)
     for s in (1, 4, 16, 37, 64):
