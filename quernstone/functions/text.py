@@ -36,15 +36,15 @@ def fold_of(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else fold(w))
 
 
-def _token_char(c: str) -> bool:
-    return unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co"
+def _token_char(c: str, extra: str = "", separators: str = "") -> bool:
+    return c not in separators and (c in extra or unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co")
 
 
-def spans(text: str, least_bytes: int = 2) -> list[tuple[str, int, int]]:
-    """(token, start, end) of each token of a text, offsets in code points of the text as it is."""
+def spans(text: str, extra: str = "", separators: str = "", least_bytes: int = 2) -> list[tuple[str, int, int]]:
+    """(token, start, end) of each token of a text, as tokens() finds them; offsets in code points of the text as it is."""
     out, begin = [], None
     for i, c in enumerate(text + "\0"):
-        if i < len(text) and _token_char(c):
+        if i < len(text) and _token_char(c, extra, separators):
             begin = i if begin is None else begin
         elif begin is not None:
             t = text[begin:i].lower()
@@ -54,13 +54,13 @@ def spans(text: str, least_bytes: int = 2) -> list[tuple[str, int, int]]:
     return out
 
 
-def words_of(text: str) -> list[str]:
-    return [t for t, _, _ in spans(text)]
+def words_of(text: str, extra: str = "", separators: str = "", least_bytes: int = 2) -> list[str]:
+    return [t for t, _, _ in spans(text, extra, separators, least_bytes)]
 
 
-def excerpt(text: str, start: int, n: int) -> str:
+def excerpt(text: str, start: int, n: int, extra: str = "", separators: str = "", least_bytes: int = 2) -> str:
     """The part of a text from its token number start to the n-th token from there, as it stands."""
-    found = spans(text)[start : start + n]
+    found = spans(text, extra, separators, least_bytes)[start : start + n]
     return text[found[0][1] : found[-1][2]] if found else ""
 
 

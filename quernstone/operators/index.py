@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import stemming, text
+from quernstone.session import delete
 
 TITLE, BODY = 0, 1
 
@@ -31,14 +32,23 @@ class Analyser:
     separators: str = ""
     least_bytes: int = 2
 
+    @property
+    def settings(self) -> tuple[str, str, int]:
+        """What the functions of functions.text take after a text."""
+        return self.token_chars, self.separators, self.least_bytes
+
+    def tokens_of(self, phrase: str) -> list[str]:
+        """Tokens of a phrase, on the driver, neither folded nor stemmed."""
+        return text.words_of(phrase, *self.settings)
+
     def words(self, phrase: str) -> list[str]:
         """Terms of a phrase, on the driver."""
-        found = text.words_of(phrase)
+        found = self.tokens_of(phrase)
         found = [text.fold(w) for w in found] if self.diacritics else found
         return [stemming.stem(w, self.languages) for w in found] if self.languages else found
 
     def tokens(self, c: Column) -> Column:
-        return text.tokens(c, self.token_chars, self.separators, self.least_bytes)
+        return text.tokens(c, *self.settings)
 
     def finish(self, rows: DataFrame) -> DataFrame:
         """Folds and stems the terms of rows; each distinct term once."""
@@ -63,25 +73,37 @@ class Index:
     analyser: Analyser = field(default_factory=Analyser)
     kept_totals: tuple[int, float] | None = None
     kept_vocabulary: DataFrame | None = None  # term, doc, cnt, sorted by term
+    tokenised: DataFrame | None = None  # the documents with their tokens (tt, tb), of which an index that isn't saved is a plan
 
     @staticmethod
     def of(docs: DataFrame, analyser: Analyser | None = None) -> Index:
         """An index as a plan over documents."""
         analyser = analyser or Analyser()
-        docs = deleted_cleared(docs).withColumns({"tt": analyser.tokens(F.col("title")), "tb": analyser.tokens(F.col("txt"))})
+        docs = deleted_cleared(docs)
+        return Index._of(docs.withColumns({"tt": analyser.tokens(F.col("title")), "tb": analyser.tokens(F.col("txt"))}), docs.select("id", "txt"), analyser)
+
+    @staticmethod
+    def _of(docs: DataFrame, texts: DataFrame, analyser: Analyser) -> Index:
         sized = docs.select("id", "space", "doc_id", "updated", "alive", "title", F.size("tt").alias("n_title"), F.size("tb").alias("n_body"))
         sides = F.array(*(F.struct(F.lit(k).alias("col"), F.col(c).alias("terms")) for k, c in ((TITLE, "tt"), (BODY, "tb"))))
         own = F.struct((F.col("n_title") + F.col("n_body")).alias("n_tokens"), "space", "alive").alias("d")
         counted = docs.withColumns({"n_title": F.size("tt"), "n_body": F.size("tb")})
         each = counted.select("id", own, F.explode(sides).alias("s")).select("id", F.col("s.col").alias("col"), F.posexplode("s.terms").alias("off", "term"), "d.n_tokens", "d.space", "d.alive")
-        return Index(sized.withColumn("n_tokens", F.col("n_title") + F.col("n_body")), analyser.finish(each), docs.select("id", "txt"), analyser)
+        return Index(sized.withColumn("n_tokens", F.col("n_title") + F.col("n_body")), analyser.finish(each), texts, analyser, tokenised=docs)
 
     def save(self, path: str, partitions: int | None = None) -> Index:
+        """Writes the index. Texts are cut into tokens once: these are written down, and all parts are made from there."""
         spark = self.docs.sparkSession
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        for name, part in (("docs", self.docs), ("texts", self.texts)):
+        source = self
+        if self.tokenised is not None:
+            self.tokenised.select("id", "space", "doc_id", "updated", "alive", "title", "tt", "tb").write.mode("overwrite").parquet(f"{path}/tokens")
+            source = Index._of(spark.read.parquet(f"{path}/tokens"), self.texts, self.analyser)
+        for name, part in (("docs", source.docs), ("texts", source.texts)):
             part.repartitionByRange(n, "id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/{name}")
-        self.postings.repartitionByRange(n, "term", "id").sortWithinPartitions("term", "id", "col", "off").write.mode("overwrite").parquet(f"{path}/postings")
+        source.postings.repartitionByRange(n, "term", "id").sortWithinPartitions("term", "id", "col", "off").write.mode("overwrite").parquet(f"{path}/postings")
+        if source is not self:
+            delete(spark, f"{path}/tokens")
         write_state(spark, path, self.analyser)
         made = Index.open(spark, path, self.analyser)
         vocabulary = Index(made.docs, made.postings, made.texts).vocabulary()

@@ -65,7 +65,7 @@ def corrected(index: Index, words: DataFrame, phrases: list[Phrase], stopwords:
     terms = {t: (index.analyser.words(t) or [t])[0] for t in single}
     if not terms:
         return phrases, 0, False
-    known = {r[0] for r in index.postings.where(F.col("term").isin(*terms.values())).select("term").distinct().collect()}
+    known = {r[0] for r in index.vocabulary().where(F.col("term").isin(*terms.values())).select("term").collect()}
     missing = [t for t in single if terms[t] not in known]
     if not missing:
         return phrases, 0, False

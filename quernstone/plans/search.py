@@ -41,17 +41,17 @@ class Part:
 
 def parts(index: Index, phrases: list[Phrase], stopwords: set[str] = frozenset(), synonyms: dict[str, tuple[str, ...]] | None = None) -> list[Part]:
     """Phrases by their terms; those without any are left out. Stopwords go from phrases of one word without *; each word of a phrase
-    without * also stands for the others of its group of synonyms."""
+    without * also stands for the others of its group of synonyms. A synonym of several words is one token, which no text has: it matches nothing."""
     out = []
     for p in phrases:
-        raw = text.words_of(p.text)
+        raw = index.analyser.tokens_of(p.text)
         words = index.analyser.words(p.text)
         if not p.wildcard and " " not in p.text:
             kept = [(r, w) for r, w in zip(raw, words) if r not in stopwords and w not in stopwords]
             raw, words = [r for r, _ in kept], [w for _, w in kept]
         if not words:
             continue
-        more = [() if p.wildcard else tuple(x for s in (synonyms or {}).get(r, ()) for x in index.analyser.words(s)[:1]) for r in raw]
+        more = [() if p.wildcard else tuple(x[0] for x in map(index.analyser.words, (synonyms or {}).get(r, ())) if len(x) == 1) for r in raw]
         out.append(Part(len(out), tuple((w, *m) for w, m in zip(words, more)), p.wildcard, p.exclude))
     return out
 
@@ -62,8 +62,8 @@ def instances(index: Index, wanted: list[Part]) -> DataFrame:
     places = [(p, k) for p in wanted for k in range(len(p.terms))]
     doc = F.struct("n_tokens", "space", "alive").alias("doc")
     rows = index.postings.where(fold(Column.__or__, [p.condition(k) for p, k in places]))
-    if len(places) == 1:
-        return rows.select("id", "col", F.col("off").alias("start"), F.lit(0).alias("phrase"), doc).repartition("id")
+    if len(places) == 1:  # no positions are compared: what is asked of these rows is added up before it is shuffled
+        return rows.select("id", "col", F.col("off").alias("start"), F.lit(0).alias("phrase"), doc)
     tagged = F.array_compact(F.array(*(F.when(p.condition(k), F.struct(F.lit(p.number).alias("phrase"), F.lit(k).alias("k"))) for p, k in places)))
     each = rows.select("id", "col", "off", doc, F.explode(tagged).alias("t")).select("id", "col", (F.col("off") - F.col("t.k")).alias("start"), F.col("t.phrase").alias("phrase"), "doc").repartition("id")
     if all(len(p.terms) == 1 for p in wanted):
@@ -96,32 +96,37 @@ def _kept(every: DataFrame, wanted: list[Part]) -> DataFrame:
     return near(every, include)
 
 
-def frequencies(index: Index, include: list[Part]) -> dict[int, int]:
-    """Documents with each phrase, by its number: of a single term from the vocabulary, of others by a count of their instances."""
-    simple = {p.number: p.terms[0][0] for p in include if len(p.terms) == 1 and len(p.terms[0]) == 1 and not p.wildcard}
+def _simple(p: Part) -> bool:
+    return len(p.terms) == 1 and len(p.terms[0]) == 1 and not p.wildcard
+
+
+def frequencies(index: Index, include: list[Part], every: DataFrame) -> dict[int, int]:
+    """Documents with each phrase, by its number: of a single term from the vocabulary, of others by a count of their instances (every)."""
+    simple = {p.number: p.terms[0][0] for p in include if _simple(p)}
     rest, found = [p for p in include if p.number not in simple], {}
     if simple:
         docs = dict(index.vocabulary().where(F.col("term").isin(*simple.values())).select("term", "doc").collect())
         found = {n: docs.get(t, 0) for n, t in simple.items()}
     if rest:
-        numbered = [Part(k, p.terms, p.wildcard, False) for k, p in enumerate(rest)]
-        counts = instances(index, numbered).select("id", "phrase").distinct().groupBy("phrase").count().collect()
-        found |= {p.number: 0 for p in rest} | {rest[r["phrase"]].number: r["count"] for r in counts}
+        counts = every.where(F.col("phrase").isin(*(p.number for p in rest))).select("id", "phrase").distinct().groupBy("phrase").count().collect()
+        found |= {p.number: 0 for p in rest} | {r["phrase"]: r["count"] for r in counts}
     return found
 
 
-def matched(index: Index, wanted: list[Part]) -> DataFrame:
-    """(id, space, alive) of every document that matches, without ranks."""
-    return _kept(instances(index, wanted), wanted).groupBy("id").agg(F.first("doc").alias("doc")).select("id", "doc.space", "doc.alive")
+def matched(index: Index, wanted: list[Part], every: DataFrame | None = None) -> DataFrame:
+    """(id, space, alive) of every document that matches, without ranks. every: instances(), if they are there already."""
+    return _kept(instances(index, wanted) if every is None else every, wanted).groupBy("id").agg(F.first("doc").alias("doc")).select("id", "doc.space", "doc.alive")
 
 
-def matches(index: Index, wanted: list[Part], shards: int = 1) -> DataFrame:
+def matches(index: Index, wanted: list[Part], shards: int = 1, every: DataFrame | None = None) -> DataFrame:
     """(id, rank, col, off, shard, space, alive): every document that matches, ranked by BM25 (lower is better), and where its first match stands. With
     several shards the statistics are those of each document's shard."""
     include = [p for p in wanted if not p.exclude]
-    every = instances(index, wanted)
+    every = instances(index, wanted) if every is None else every
     weight = F.when(F.col("col") == TITLE, WEIGHTS[0]).otherwise(WEIGHTS[1])
-    counted = _kept(every, wanted).groupBy("id", "phrase").agg(F.sum(weight).alias("f"), F.min(F.struct("col", "start")).alias("first"), F.first("doc").alias("doc"))
+    by = ["id"] if len(wanted) == 1 else ["id", "phrase"]
+    counted = _kept(every, wanted).groupBy(*by).agg(F.sum(weight).alias("f"), F.min(F.struct("col", "start")).alias("first"), F.first("doc").alias("doc"))
+    counted = counted.withColumn("phrase", F.lit(wanted[0].number)) if len(wanted) == 1 else counted
     if shards > 1:
         docs = index.docs.select("id", "n_tokens", text.shard_of(F.col("doc_id"), shards).alias("shard"))
         stats = docs.groupBy("shard").agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avgdl"))
@@ -130,7 +135,7 @@ def matches(index: Index, wanted: list[Part], shards: int = 1) -> DataFrame:
         scored = counted.join(docs.select("id", "shard"), "id").join(F.broadcast(stats), "shard").join(F.broadcast(df), ["shard", "phrase"])  # a row for each shard and phrase
     else:
         n, mean = index.totals()
-        df = frequencies(index, include)
+        df = frequencies(index, include, every)
         known = F.element_at(F.array(*(F.lit(df.get(p.number, 0)).cast("long") for p in wanted)), F.col("phrase") + 1)
         scored = counted.withColumns({"shard": F.lit(0), "n_docs": F.lit(n), "avgdl": F.lit(mean), "df": known})
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
@@ -141,10 +146,13 @@ def matches(index: Index, wanted: list[Part], shards: int = 1) -> DataFrame:
     return all_phrases.select("id", "shard", "rank", F.col("first.col").alias("col"), F.col("first.start").alias("off"), "doc.space", "doc.alive")
 
 
-@F.pandas_udf(T.StringType())
-def _window(body: pd.Series, off: pd.Series) -> pd.Series:
-    made = (text.excerpt(b or "", max(int(o) - 1, 0), SNIPPET) for b, o in zip(body, off))
-    return pd.Series([x.replace("\n", " ") for x in made], dtype=object)
+def _window(body: Column, off: Column, settings: tuple[str, str, int]) -> Column:
+    @F.pandas_udf(T.StringType())
+    def cut(body: pd.Series, off: pd.Series) -> pd.Series:
+        made = (text.excerpt(b or "", max(int(o) - 1, 0), SNIPPET, *settings) for b, o in zip(body, off))
+        return pd.Series([x.replace("\n", " ") for x in made], dtype=object)
+
+    return cut(body, off)
 
 
 def _snippet(index: Index, ids: list[int], page: DataFrame, kind: str | None) -> DataFrame:
@@ -157,7 +165,7 @@ def _snippet(index: Index, ids: list[int], page: DataFrame, kind: str | None) ->
     column = F.when(F.col("col") == TITLE, F.col("title")).otherwise(F.col("txt"))
     size = F.when(F.col("col") == TITLE, F.col("n_title")).otherwise(F.col("n_body"))
     if kind == "window":
-        middle = _window(column, F.col("off"))
+        middle = _window(column, F.col("off"), index.analyser.settings)
     else:  # "tokens": the same tokens, as the index has them
         middle = F.array_join(F.slice(index.analyser.tokens(column), F.greatest(F.col("off"), F.lit(1)), SNIPPET), " ")
     return page.withColumn("snippet", F.concat(F.when(F.col("off") > 1, "…").otherwise(""), middle, F.when(size > SNIPPET, "…").otherwise("")))
@@ -181,25 +189,30 @@ def search(
     """A page of hits in order: space, id, rank, snippet, with total (hits in the spaces), total_raw (matches, before documents are filtered), capped, status.
     `page` is a page number. A query of exclusions alone is an error, one of no words has no hits; both give no rows (see status_of).
 
-    The page's ids and ranks (500 at most) come to the driver by one job over postings, the totals by another that ranks nothing; documents and
-    texts are then read for those ids."""
+    Postings are scanned once: what matches is kept (in memory, and on disk beyond it) while frequencies, ranks and totals are made of it. The
+    page's ids and ranks (500 at most) come to the driver; documents and texts are then read for those ids."""
     phrases = language.reduce(language.parse(query)) if isinstance(query, str) else query
     wanted = parts(index, phrases, stopwords, synonyms)
     spark = index.docs.sparkSession
     if status_of(wanted) != OK:
         return spark.createDataFrame([], _HITS)
     limit = language.clamp(limit)
-    ranked = shown(matches(index, wanted), spaces, cap).select("id", "rank", "col", "off", "space")
-    rows = ranked.orderBy("rank", "id").offset(page * limit).limit(limit).collect()
-    if not rows:
-        return spark.createDataFrame([], _HITS)
-    total = raw = None
+    every, total, raw = instances(index, wanted), None, None
     most = cap if cap is not None else 2**62
-    if totals:
-        found = matched(index, wanted)
-        found = found if cap is None else found.orderBy("id").limit(cap + 1)
-        visible = F.col("alive") if spaces is None else F.col("alive") & F.col("space").isin(*spaces)
-        raw, total = found.agg(F.count("*"), F.count_if(visible)).first()
+    once = not totals and all(map(_simple, wanted))  # one job alone reads the instances
+    every = every if once else every.persist()
+    try:
+        ranked = shown(matches(index, wanted, every=every), spaces, cap).select("id", "rank", "col", "off", "space")
+        rows = ranked.orderBy("rank", "id").offset(page * limit).limit(limit).collect()
+        if not rows:
+            return spark.createDataFrame([], _HITS)
+        if totals:
+            found = matched(index, wanted, every)
+            found = found if cap is None else found.orderBy("id").limit(cap + 1)
+            visible = F.col("alive") if spaces is None else F.col("alive") & F.col("space").isin(*spaces)
+            raw, total = found.agg(F.count("*"), F.count_if(visible)).first()
+    finally:
+        every.unpersist()
     numbers = (None if total is None else min(total, most), None if raw is None else min(raw, most), None if raw is None else raw > most)
     place = spark.createDataFrame([(k, *r, *numbers) for k, r in enumerate(rows)], "place int, id long, rank double, col int, off int, space string, total long, total_raw long, capped boolean")
     ids = [r["id"] for r in rows]
