@@ -128,6 +128,12 @@ def compress_of(c: pd.Series) -> pd.Series:
     return c.map(compress)
 
 
+@F.pandas_udf(T.BinaryType())
+def packed_of(c: pd.Series) -> pd.Series:
+    """Bytes of texts, compressed unless they are already."""
+    return c.map(lambda b: None if b is None else bytes(b) if _stream(bytes(b)) else compress(bytes(b).decode("utf-8", "replace")))
+
+
 @F.pandas_udf(T.StringType())
 def uncompress_of(c: pd.Series) -> pd.Series:
     return c.map(uncompress)

@@ -7,8 +7,9 @@ such a combination."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce as fold
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -100,6 +101,35 @@ def _simple(p: Part) -> bool:
     return len(p.terms) == 1 and len(p.terms[0]) == 1 and not p.wildcard
 
 
+def search_many(index: Index, queries: list[str], spaces: list[str] | None = None, limit: int = 10) -> DataFrame:
+    """The first page of each of several searches (some dozens), from one scan and one shuffle of postings: query (its number), place, space, id, rank.
+    Queries without words, or of exclusions alone, have no rows."""
+    spark = index.docs.sparkSession
+    asked = [(n, w) for n, q in enumerate(queries) if status_of(w := parts(index, language.reduce(language.parse(q)))) == OK]
+    if not asked:
+        return spark.createDataFrame([], "query int, place int, space string, id string, rank double")
+    first = dict(zip((n for n, _ in asked), [0, *accumulate(len(w) for _, w in asked)]))
+    every = instances(index, [replace(p, number=p.number + first[n]) for n, w in asked for p in w]).persist()
+    try:
+        df = frequencies(index, [replace(p, number=p.number + first[n]) for n, w in asked for p in w if not p.exclude], every)
+        pages = None
+        for n, w in asked:
+            own = every.where(F.col("phrase").between(first[n], first[n] + len(w) - 1)).withColumn("phrase", F.col("phrase") - first[n])
+            ranked = shown(matches(index, w, every=own, df={p.number: df.get(p.number + first[n], 0) for p in w}), spaces).select(F.lit(n).alias("query"), "id", "rank", "space")
+            top = ranked.orderBy("rank", "id").limit(language.clamp(limit))
+            pages = top if pages is None else pages.unionByName(top)
+        rows = sorted(pages.collect(), key=lambda r: (r["query"], r["rank"], r["id"]))
+    finally:
+        every.unpersist()
+    places, counts = [], dict.fromkeys(range(len(queries)), 0)
+    for r in rows:
+        places.append((r["query"], counts[r["query"]], r["space"], r["id"], r["rank"]))
+        counts[r["query"]] += 1
+    page = spark.createDataFrame(places, "query int, place int, space string, id long, rank double")
+    names = index.docs.where(F.col("id").isin(sorted({r["id"] for r in rows}))).select("id", "doc_id")
+    return names.join(F.broadcast(page), "id").select("query", "place", "space", F.col("doc_id").alias("id"), "rank").orderBy("query", "place")
+
+
 def frequencies(index: Index, include: list[Part], every: DataFrame) -> dict[int, int]:
     """Documents with each phrase, by its number: of a single term from the vocabulary, of others by a count of their instances (every)."""
     simple = {p.number: p.terms[0][0] for p in include if _simple(p)}
@@ -118,9 +148,9 @@ def matched(index: Index, wanted: list[Part], every: DataFrame | None = None) ->
     return _kept(instances(index, wanted) if every is None else every, wanted).groupBy("id").agg(F.first("doc").alias("doc")).select("id", "doc.space", "doc.alive")
 
 
-def matches(index: Index, wanted: list[Part], shards: int = 1, every: DataFrame | None = None) -> DataFrame:
+def matches(index: Index, wanted: list[Part], shards: int = 1, every: DataFrame | None = None, df: dict[int, int] | None = None) -> DataFrame:
     """(id, rank, col, off, shard, space, alive): every document that matches, ranked by BM25 (lower is better), and where its first match stands. With
-    several shards the statistics are those of each document's shard."""
+    several shards the statistics are those of each document's shard. every and df: instances() and frequencies(), if they are there already."""
     include = [p for p in wanted if not p.exclude]
     every = instances(index, wanted) if every is None else every
     weight = F.when(F.col("col") == TITLE, WEIGHTS[0]).otherwise(WEIGHTS[1])
@@ -135,7 +165,7 @@ def matches(index: Index, wanted: list[Part], shards: int = 1, every: DataFrame
         scored = counted.join(docs.select("id", "shard"), "id").join(F.broadcast(stats), "shard").join(F.broadcast(df), ["shard", "phrase"])  # a row for each shard and phrase
     else:
         n, mean = index.totals()
-        df = frequencies(index, include, every)
+        df = frequencies(index, include, every) if df is None else df
         known = F.element_at(F.array(*(F.lit(df.get(p.number, 0)).cast("long") for p in wanted)), F.col("phrase") + 1)
         scored = counted.withColumns({"shard": F.lit(0), "n_docs": F.lit(n), "avgdl": F.lit(mean), "df": known})
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
@@ -249,4 +279,4 @@ def merged_response(responses: DataFrame) -> DataFrame:
     return responses.agg(F.max("duration").alias("duration"), F.max("status").alias("status"), F.bool_or("capped").alias("capped"), F.sum("total").alias("total"), near_one.alias("respelt"))
 
 
-__all__ = ["BODY", "search", "per_shard", "merged", "merged_response", "parts", "status_of", "shown", "matched", "matches"]
+__all__ = ["BODY", "search", "search_many", "per_shard", "merged", "merged_response", "parts", "status_of", "shown", "matched", "matches"]

@@ -176,6 +176,55 @@ def search_window_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.search(index_of(spark, sf_dir), '"of the" haha', None, limit=20, snippet="window", totals=False).select("id", "snippet")
 
 
+SQL["search_window_snippet"] = search_sql(["of the", "haha"], r"""h as (select r.*, x // 1000000000 as c, x % 1000000000 as o from r join d using (id) join first using (id) where alive),
+s as (select h.id, h.rank, greatest(o, 1) as a, o, regexp_extract_all(src, '[\p{L}\p{N}]+') as t, regexp_extract_all(src, '[^\p{L}\p{N}]*[\p{L}\p{N}]+') as g from (select h.*, case c when 0 then title else txt end as src from h join d using (id)) h),
+w as (select *, list_filter(range(1, len(t) + 1), lambda i: strlen(lower(t[i])) >= 2 or regexp_full_match(t[i], '[0-9]+')) as ks from s)
+select id::varchar as id, case when o > 1 then '…' else '' end || replace(t[ks[a]] || array_to_string(g[ks[a] + 1:ks[least(a + 9, len(ks))]], ''), chr(10), ' ') || case when len(ks) > 10 then '…' else '' end as snippet
+from w order by rank, id limit 20""")
+
+
+@query
+def search_without_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus's stopwords go from the query, but not from a phrase."""
+    index = index_of(spark, sf_dir)
+    stop = {r["word"] for r in ix.stopwords(index.vocabulary()).collect()}
+    found = plan.search(index, 'the haha "of the"', None, limit=25, snippet=None, totals=False, stopwords=stop)
+    return found.select("id", F.round("rank", 6).alias("rank"))
+
+
+SQL["search_without_stopwords"] = search_sql(["haha", "of the"], "h as (select r.* from r join d using (id) where alive) select id::varchar as id, round(rank, 6) as rank from h order by h.rank, h.id limit 25")
+BATCH = ["haha", "the that", '"of the" on', "that -haha", "hah*"]
+
+
+@query
+def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five searches as one plan."""
+    found = plan.search_many(index_of(spark, sf_dir), BATCH, limit=10)
+    return found.select("query", "place", "id", F.round("rank", 6).alias("rank"))
+
+
+_ONE = "h as (select r.* from r join d using (id) where alive) select {} as query, (row_number() over (order by h.rank, h.id) - 1)::int as place, id::varchar as id, round(rank, 6) as rank from h order by h.rank, h.id limit 10"
+SQL["search_batch"] = " union all ".join(f"select * from ({search_sql(p, _ONE.format(n))})" for n, p in enumerate((["haha"], ["the", "that"], ["of the", "on"], ["that", "-haha"], ["hah*"])))
+
+
+@query
+def search_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An agent answers a query twice, and again after a document that it showed has changed."""
+    from quernstone.api import SearchAgent
+
+    agent = SearchAgent(index_of(spark, sf_dir), stop=set())
+    rows = []
+    for n, q in enumerate(("haha", "HAHA haha", "haha")):
+        found = agent.search(q, limit=5)
+        rows.append((n, found.cached, len(found.hits), found.total))
+        if n == 1:
+            agent.forget({found.hits[0]["id"]})
+    return spark.createDataFrame(rows, "n int, cached boolean, hits int, total long")
+
+
+SQL["search_cached"] = search_sql(["haha"], "h as (select count(*) as t from r join d using (id) where alive) select range::int as n, range = 1 as cached, least(t, 5)::int as hits, least(t, 10000) as total from range(3), h")
+
+
 @query
 def search_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = synonyms.numbered(spark.createDataFrame(SYNONYMS, "description string, words array<string>"))
@@ -312,6 +361,37 @@ def term_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("term", spelling.translit_of("term").alias("ascii"), spelling.phonehash_of(spelling.translit_of("term")).alias("hash"), stemming.stem_of("term").alias("stem"))
 
 
+#: Words and their stems, as the stemmer's authors publish them.
+STEMS = {"consist": "consist", "consisted": "consist", "consistency": "consist", "consisting": "consist", "knack": "knack", "knackeries": "knackeri", "knaves": "knave", "knavish": "knavish", "kneeling": "kneel", "knightly": "knight", "knocking": "knock", "knots": "knot", "knolls": "knoll", "skies": "sky", "dying": "die", "news": "news", "ab": "ab"}
+
+
+@query
+def stem_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(w,) for w in STEMS], "word string").select("word", stemming.stem_of("word").alias("stem"))
+
+
+SQL["stem_words"] = "select * from (values " + ", ".join(f"('{a}', '{b}')" for a, b in STEMS.items()) + ") as s(word, stem)"
+
+
+@query
+def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every title, by another choice of token characters: letters, digits and full stops, of three bytes at least."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.tokens(F.split("text", "\n").getItem(0), ".", "", 3), " ").alias("tokens"))
+
+
+SQL["title_tokens"] = r"select doc_id, array_to_string(list_filter(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[\p{L}\p{N}.]+'), lambda t: strlen(t) >= 3 or regexp_full_match(t, '[0-9]+')), ' ') as tokens from documents"
+
+
+@query
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions made of part keys against 1.5.2: which are newer, which compatible."""
+    v = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(".", F.col("p_partkey") % 3, F.col("p_partkey") % 11, F.col("p_partkey") % 7).alias("v"))
+    return v.select("p_partkey", text.newer(F.col("v"), F.lit("1.5.2")).alias("newer"), text.compatible(F.col("v"), F.lit("1.5")).alias("compatible"))
+
+
+SQL["versions"] = "select p_partkey, (p_partkey % 3, p_partkey % 11, p_partkey % 7) > (1, 5, 2) as newer, p_partkey % 3 = 1 as compatible from part"
+
+
 @query
 def term_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_of(spark, sf_dir).vocabulary().select(spelling.scriptcode_of(F.col("term")).alias("script")).groupBy("script").agg(F.count("*").alias("n"))
@@ -358,6 +438,60 @@ def synonyms_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["synonyms_dump"] = f"with {_GROUPS} select '[\"' || description || '\",[\"' || string_agg(word, '\",\"' order by word) || '\"]]' as line from y group by description"
 
 
+@query
+def synonym_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of synonyms from a file of JSON lines, put in the place of an earlier list, and dumped again."""
+    folder = f"{shared_dir(spark).rstrip('/')}/synonyms-{abs(hash(sf_dir)):x}"
+    groups = synonyms.numbered(spark.createDataFrame(SYNONYMS, "description string, words array<string>"))
+    synonyms.dump(groups).write.mode("overwrite").option("compression", "gzip").text(f"{folder}/lines")
+    synonyms.replaced(synonyms.numbered(spark.createDataFrame([("old", ["a", "b"])], "description string, words array<string>")), f"{folder}/kept")
+    return synonyms.dump(synonyms.replaced(synonyms.read(spark, f"{folder}/lines"), f"{folder}/kept"))
+
+
+SQL["synonym_file"] = SQL["synonyms_dump"]
+
+
+# Files
+
+
+@query
+def packed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written by space with packed texts, one space's rows packed again as they are, and read back."""
+    path = f"{shared_dir(spark).rstrip('/')}/packed-{abs(hash(sf_dir)):x}"
+    kept = files.write_documents(docs_of(spark, sf_dir), path, packed=True)
+    plain = files.read_packed(files.pack_rows(kept))
+    return plain.groupBy("space").agg(F.count("*").alias("n"), F.sum(F.octet_length("txt")).alias("bytes"), F.sum(F.length("txt")).alias("chars"))
+
+
+SQL["packed_table"] = "select lang as space, count(*) as n, sum(strlen(text))::bigint as bytes, sum(length(text))::bigint as chars from documents group by 1"
+
+
+@query
+def load_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of a search load test, from a JSON file."""
+    path = f"{shared_dir(spark).rstrip('/')}/load-{abs(hash(sf_dir)):x}"
+    sets = '[{"Iterations": 3, "Spaces": ["en"], "Queries": ["haha", "the that"], "Limit": 10}, {"Iterations": 1, "Queries": ["of"], "Limit": 5, "Offset": 20}]'
+    spark.createDataFrame([(sets,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    found = files.read_load_set(spark, path)
+    return found.select(F.col("Iterations").alias("iterations"), F.array_join(F.coalesce("Spaces", F.array().cast("array<string>")), ",").alias("spaces"), F.array_join("Queries", ",").alias("queries"), F.col("Limit").alias("page"), F.col("Offset").alias("start"))
+
+
+SQL["load_sets"] = "select * from (values (3, 'en', 'haha,the that', 10, null), (1, '', 'of', 5, 20)) as s(iterations, spaces, queries, page, start)"
+
+
+@query
+def load_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load test's results through a CSV file."""
+    path = f"{shared_dir(spark).rstrip('/')}/results-{abs(hash(sf_dir)):x}"
+    e = table(spark, sf_dir, "events").select(F.round("value", 4).alias("seconds"), (F.col("event_id") % 100 / 8).alias("duration"), F.when(F.col("user_id") % 10 == 0, "timeout").otherwise("ok").alias("status"))
+    files.write_results(e, path)
+    back = spark.read.schema("seconds double, duration double, status string").csv(path)
+    return back.groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("seconds"), 2).alias("seconds"), F.sum("duration").alias("duration"))
+
+
+SQL["load_results"] = "select case when user_id % 10 = 0 then 'timeout' else 'ok' end as status, count(*) as n, round(sum(round(value, 4)), 2) as seconds, sum((event_id % 100) / 8) as duration from events group by 1"
+
+
 # Shards
 
 

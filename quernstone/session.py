@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of plans that nothing refers to any more. Spark deletes them when the driver's JVM collects its garbage, which a driver with
+    little garbage puts off, for longer than the disks of a large shuffle may bear."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder that an operator made, wherever it is."""
     jvm = spark.sparkContext._jvm

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import compress_of, iscompressed_of, uncompress_of
+from quernstone.functions.text import compress_of, packed_of, uncompress_of
 from quernstone.operators.maintain import assigned_ids
 
 DOCUMENT = "id string, title string, text string, date timestamp"
@@ -54,8 +54,7 @@ def read_packed(docs: DataFrame) -> DataFrame:
 
 def pack_rows(docs: DataFrame) -> DataFrame:
     """Documents whose texts are blobs, those that aren't yet compressed."""
-    raw = F.col("txt").cast("binary")
-    return docs.withColumn("txt", F.when(iscompressed_of(raw), raw).otherwise(compress_of(raw.cast("string"))))
+    return docs.withColumn("txt", packed_of(F.col("txt").cast("binary")))
 
 
 def compact(spark: SparkSession, path: str, to: str, files: int) -> None:
