@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.common import U64, attach, as_bytes, by_bytes, may_broadcast, mix, partitions_for, pieces, text_of, tidily, word_bounds, word_hashes
 from quernstone.llm.components import components
-from quernstone.session import cut, table
+from quernstone.session import cut, release, table
 
 PERCENT = 70
 CHUNK_SHINGLES, CHUNK_DOCS, MANY = 1_000_000, 60_000, 0xFFFF
@@ -328,6 +328,14 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def ordered(sets: DataFrame, partitions: int) -> DataFrame:
+    """cid, n, csize, live, shingles, frequencies of the classes that may still link."""
+    buckets = min(0xFFFF, 3 * partitions)
+    spread = _exchange(sets.mapInArrow(functools.partial(_spread, buckets), _ROWS), partitions, "bucket")
+    counted = _exchange(spread.mapInArrow(_frequency, _ROWS), partitions, "chunk")
+    return cut(counted.mapInArrow(_ordered, "cid long, n long, csize long, live long, shingles binary, frequencies binary"))
+
+
 # 3. Components of classes that share a shingle of their prefixes.
 
 
@@ -502,10 +510,12 @@ def _planned(seqs: DataFrame, member: DataFrame, partitions: int, block: int) ->
 
 def linked(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, h, n, n_similar, and of every row's component least: null_id, doc_id and h of its first row (rows without doc_id come last)."""
-    by_bytes(docs.sparkSession)
+    spark = docs.sparkSession
+    by_bytes(spark)
     partitions = partitions_for(docs.select("doc_id", "text"))
     buckets = min(0xFFFF, 3 * partitions)
     every = screened(docs, partitions)
+    release(spark)  # the largest shuffle of all is over
     place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "h")
     grouped = every.where("live").groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("csize"), F.max("n").alias("n"))
     classes = cut(grouped.withColumn("cid", F.monotonically_increasing_id()))
@@ -516,11 +526,11 @@ def linked(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     sets = cut(chosen.mapInArrow(_class_sets, "cid long, n long, csize long, shingles binary"))
     if sets.count() > n_classes:  # rows that repeat a doc_id and its text
         sets = cut(sets.dropDuplicates(["cid"]))
-    spread = _exchange(sets.mapInArrow(functools.partial(_spread, buckets), _ROWS), partitions, "bucket")
-    counted = _exchange(spread.mapInArrow(_frequency, _ROWS), partitions, "chunk")
-    seqs = cut(counted.mapInArrow(_ordered, "cid long, n long, csize long, live long, shingles binary, frequencies binary"))
+    seqs = ordered(sets, partitions)
     heads = _exchange(seqs.mapInArrow(functools.partial(_prefixes, buckets), _ROWS), partitions, "bucket")
     member = cut(components(heads.mapInArrow(_stars, "a long, b long")))
+    del sets, heads
+    release(spark)
     found = cut(_planned(seqs, member, partitions, block).mapInArrow(_tasks, "cid long, links long, other long"))
     sums = found.groupBy("cid").agg(F.sum("links").alias("links"))
     top = components(found.where("cid <> other").select(F.col("cid").alias("a"), F.col("other").alias("b"))).toDF("cid", "top")
