@@ -29,7 +29,7 @@ from quernstone.llm.common import by_bytes, tidily
 from quernstone.session import cut, table
 
 BLOCK, TILE, AT_ONCE, LEVELS = 262_144, 8192, 256, (4, 16, 32)
-CENTROIDS, ROWS_EACH, ENVELOPES = 256, 1000, 16_384
+CENTROIDS, ROWS_EACH, ENVELOPES = 256, 4000, 16_384
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ class Block:
             if not exactly:
                 self.exact += len(rows)
                 values = np.array([sum(map(int.__mul__, x, y)) for x, y in zip(q[rows].tolist(), self.x[part][cells].tolist())], object)
-            elif 8 * len(rows) < open_.size:
+            elif 2 * len(rows) < open_.size:
                 self.exact += len(rows)
                 values = np.empty(len(rows))
                 for o in range(0, len(rows), 100_000):
