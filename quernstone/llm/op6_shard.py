@@ -5,7 +5,8 @@ one partition of everything is left. Only group sums move; rows get their shard
 
 Size is the UTF-8 bytes of the text (null: none) plus 1; null and empty texts form one group, crc32 0. Repeated rows are rows of
 their own. Slots are gapless from 0 in each shard: rows are numbered within (shard, bucket) and start where the counts
-of the buckets before end. An empty table gives an empty result."""
+of the buckets before end; ties of doc_id are numbered in any order. Texts of any length count whole; columns of other names play no part. An empty
+table gives an empty result."""
 
 from __future__ import annotations
 

@@ -55,3 +55,35 @@ def test_differencing_against_all_partitions():
         best = min(max(sum(s for s, b in zip(sizes, p) if b == x) for x in range(3)) for p in itertools.product(range(3), repeat=7))
         assert max(sums) <= 1.35 * best
     assert op.differencing([], 3) == ([], []) and op.differencing([[5, 2]], 2)[1] == [5, 2]
+
+
+def naive(sizes, k):
+    """Karmarkar-Karp as it is described: the two partitions of largest spread are combined, oppositely ordered."""
+    parts = [(sorted([(s, (i,))] + [(0, ())] * (k - 1), reverse=True), i) for i, s in enumerate(sizes)]
+    count = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (p[0][-1][0] - p[0][0][0], p[1]))
+        (a, _), (b, _), *parts = parts
+        new = sorted(((x + y, u + v) for (x, u), (y, v) in zip(a, reversed(b))), key=lambda z: -z[0])
+        parts.append((new, count))
+        count += 1
+    return [s for s, _ in parts[0][0]]
+
+
+def test_differencing_against_a_naive_version():
+    rng = random.Random(10)
+    for k in (2, 3, 16):
+        for n in (1, 5, 40, 200):
+            sizes = sorted((rng.choice([rng.randrange(1, 50), rng.randrange(1, 10**6)]) for _ in range(n)), reverse=True)
+            to, sums = op.differencing([[s] for s in sizes], k)
+            assert sorted(sums) == sorted(naive(sizes, k))
+            got = [0] * k
+            for s, (b,) in zip(sizes, to):
+                got[b] += s
+            assert got == sums
+
+
+def test_texts_of_any_length_ties_and_clashing_columns(docs_of):
+    rows = [(1, "long " * 100_000), (2, "long " * 100_000), (3, None), (4, "")] + [(5, "tie")] * 4 + [(None, "tie")] * 3 + [(i, f"{i:03d}") for i in range(10, 60)]
+    docs = docs_of(rows).selectExpr("*", "1 as shard", "2 as slot", "'x' as law", "3 as bytes")
+    check(rows, op.shard(docs, 4).collect(), 4)
