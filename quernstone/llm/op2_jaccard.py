@@ -7,7 +7,7 @@ What goes into the tries is made small by bounds that lose nothing:
    shuffle moves a few large rows); a document of whose shingles less than 70 % are in another document links with nothing.
 2. Of the rest, documents with equal sets become one class; shingles are counted again, in full, among the classes, and the bound is
    applied again.
-3. Two sets that link share one of their first |s| - ceil(0.7 |s|) + 1 shingles in the global order. Classes that share such a shingle, directly or
+3. Two sets that link share one of their first |s| - ceil(0.7 |s|) + 1 shingles in the global order. Classes that share such a shingle and are near enough in size, directly or
    through others, form a component; only within components tries are built. A component of more than BLOCK shingles is split into blocks by
    size of set and hash, and each pair of blocks that may hold a link is a task of its own, so no task's size depends on the largest group.
 
@@ -342,30 +342,32 @@ def ordered(sets: DataFrame, partitions: int) -> DataFrame:
 @tidily
 def _prefixes(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        heads, cids = [], []
+        heads, cids, sizes = [], [], []
         for cid, n, live, raw in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4))):
             k = live - least_overlap(n) + 1  # shingles of no other class come first in the order and are left out already
             heads.append(np.frombuffer(raw, U64, k))
             cids.append(np.full(k, cid, np.int64))
+            sizes.append(np.full(k, n, np.int64))
         if not heads:
             continue
-        t, c = np.concatenate(heads), np.concatenate(cids)
+        t, c, size = np.concatenate(heads), np.concatenate(cids), np.concatenate(sizes)
         bucket = ((t >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        yield _batch([(k, 1, 0, _pack(t[own], c[own])) for k in range(buckets) if len(own := order[edges[k] : edges[k + 1]])])
+        yield _batch([(k, 1, 0, _pack(t[own], c[own], size[own])) for k in range(buckets) if len(own := order[edges[k] : edges[k + 1]])])
 
 
 @tidily
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each shingle of a bucket, edges from one class that has it in its prefix to the others; each edge once."""
+    """For each shingle of a bucket, edges from one class that has it in its prefix to the others; each edge once. By size of set the classes fall apart
+    wherever the next is too large to link with the one before: no link crosses such a gap."""
     for _, rows in _by(0, batches):
-        parts = [_unpack(r[3], U64, np.int64) for r in rows]
-        t, c = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        order = np.lexsort((c, t))
-        t, c = t[order], c[order]
+        parts = [_unpack(r[3], U64, np.int64, np.int64) for r in rows]
+        t, c, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.lexsort((c, n, t))
+        t, c, n = t[order], c[order], n[order]
         begins = np.ones(len(t), bool)
-        begins[1:] = t[1:] != t[:-1]
+        begins[1:] = (t[1:] != t[:-1]) | (100 * n[:-1] < PERCENT * n[1:])
         a = c[np.maximum.accumulate(np.where(begins, np.arange(len(t)), 0))]
         pairs = np.unique(np.stack([a, c], 1)[a != c], axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])

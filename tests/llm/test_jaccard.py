@@ -102,3 +102,12 @@ def test_hot_texts_without_id(docs_of):
     rows = [(None, "the same hot text without any id " * 3)] * 400 + [(None, f"row {i} of many with no id {i * 3}") for i in range(300)]
     assert got(op.link(docs_of(rows))) == sorted([(None, 7, 399, None)] * 400 + [r for r in brute(rows[400:])], key=repr)
     assert op.thin(docs_of(rows)).count() == 301
+
+
+@pytest.mark.parametrize("block", [op.BLOCK, 90])
+def test_chain_whose_prefixes_percolate(docs_of, block):
+    """Windows over one long text: neighbours link, the next but one don't, and every prefix is shared by several; besides, the same text at very different sizes."""
+    words = [f"w{i}" for i in range(900)]
+    rows = [(i, " ".join(words[i * 6 : i * 6 + 40])) for i in range(60)] + [(100 + i, " ".join(words[: 12 * 2**i])) for i in range(6)]
+    rows += [(200 + i, " ".join(words[400 + i : 445])) for i in range(20)]
+    assert got(op.link(docs_of(rows), block)) == brute(rows)
