@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 from quernstone.config import Config
 from quernstone.operators import spell, synonyms
 from quernstone.operators.index import Index, stopwords
-from quernstone.operators.maintain import ResultCache, latest, unique_keys
+from quernstone.operators.maintain import ResultCache
+from quernstone.operators.segments import Segments
 from quernstone.operators.sharding import only
 from quernstone.plans import parse as language
 from quernstone.plans import search as plan
@@ -82,12 +82,13 @@ class SearchAgent:
 
 
 class DocumentManager:
-    """Takes documents in, in batches: other shards' documents are left out, the last update of each wins, and the index is made of what there is."""
+    """Takes documents in, in batches: other shards' documents are left out, the last update of each wins, and each batch becomes a segment of the index."""
 
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None):
         self.spark, self.config, self.path = spark, config or Config(), path.rstrip("/")
         self.table = DocumentTable(spark, f"{self.path}/docs")
-        self.batch = 0
+        self.segments = Segments(spark, f"{self.path}/index", self.config.analyser())
+        self.batch = self.segments.batches
 
     def add(self, docs: DataFrame) -> None:
         """A batch of documents: space, doc_id, updated, title, txt, alive. Those of spaces that aren't configured are left out."""
@@ -96,11 +97,16 @@ class DocumentManager:
         self.batch += 1
 
     def index(self) -> Index:
-        """Indexes all documents and returns the saved index; ids follow the order of writing (batch, then key)."""
-        rows = latest(self.spark.read.parquet(f"{self.path}/docs/data"), "batch")
-        unique_keys(rows)
-        ids = rows.withColumn("id", F.monotonically_increasing_id())
-        return Index.of(ids.select("id", "space", "doc_id", "updated", "title", "txt", "alive"), self.config.analyser()).save(f"{self.path}/index-{uuid.uuid4().hex[:8]}")
+        """Indexes the batches that aren't yet and returns the index. Ids follow the order of writing; a document that is updated keeps its own."""
+        for k in range(self.segments.batches, self.batch):
+            self.segments.add(self.spark.read.parquet(f"{self.path}/docs/data/batch={k}"), "version")
+        return self.segments.open()
+
+    def optimise(self) -> Index:
+        """Merges the index's segments into one, and deletes the others."""
+        self.segments.merge()
+        self.segments.sweep()
+        return self.segments.open()
 
 
 def run_load(agent: SearchAgent, load_set: DataFrame, seed: int = 0) -> DataFrame:
