@@ -1,4 +1,4 @@
-"""The English (Porter2) stemmer, and the chain of stemmers that the analyser applies to tokens of 3 to 40 bytes. Stemmers are registered by
+"""The English (Porter2) and German stemmers, and the chain of stemmers that the analyser applies to tokens of 3 to 40 bytes. Stemmers are registered by
 language; a chain takes the first whose result has another length, else the last one's."""
 
 from __future__ import annotations
@@ -90,7 +90,46 @@ def english(word: str) -> str:
     return w.replace("Y", "y")
 
 
-STEMMERS: dict[str, Callable[[str], str]] = {"english": english}
+_GERMAN, _S_ENDING, _ST_ENDING = "aeiouyäöü", "bdfghklmnrt", "bdfghklmnt"
+
+
+def german(word: str) -> str:
+    """The published German stemmer: three steps over the regions after the first and second consonant that follows a vowel."""
+    w = word.replace("ß", "ss")
+    w = re.sub(f"(?<=[{_GERMAN}])[uy](?=[{_GERMAN}])", lambda m: m.group().upper(), w)
+    region = lambda start: m.end() if (m := re.compile(f"[{_GERMAN}][^{_GERMAN}]").search(w, start)) else len(w)
+    first = region(0)
+    second = region(first)
+    first = max(first, 3)
+
+    def within(suffix: str, start: int) -> bool:
+        return w.endswith(suffix) and len(w) - len(suffix) >= start
+
+    end = _longest(w, ("em", "ern", "er", "e", "en", "es", "s"))
+    if end and within(end, first) and (end != "s" or w[-2:-1] in tuple(_S_ENDING)):
+        w = w[: -len(end)]
+        if end in ("e", "en", "es") and w.endswith("niss"):
+            w = w[:-1]
+    end = _longest(w, ("en", "er", "est", "st"))
+    if end and within(end, first) and (end != "st" or (len(w) >= 6 and w[-3] in _ST_ENDING)):
+        w = w[: -len(end)]
+    end = _longest(w, ("end", "ung", "ig", "ik", "isch", "lich", "heit", "keit"))
+    if end and within(end, second):
+        if end in ("ig", "ik", "isch"):
+            w = w if w[: -len(end)].endswith("e") else w[: -len(end)]
+        else:
+            w = w[: -len(end)]
+            if end in ("end", "ung") and within("ig", second) and not w[:-2].endswith("e"):
+                w = w[:-2]
+            elif end in ("lich", "heit") and (within("er", first) or within("en", first)):
+                w = w[:-2]
+            elif end == "keit":
+                more = _longest(w, ("lich", "ig"))
+                w = w[: -len(more)] if more and within(more, second) else w
+    return w.lower().translate(str.maketrans("äöü", "aou"))
+
+
+STEMMERS: dict[str, Callable[[str], str]] = {"english": english, "german": german}
 
 
 def register(language: str, stemmer: Callable[[str], str]) -> None:

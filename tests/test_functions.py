@@ -3,7 +3,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.functions import spelling, text
+from quernstone.functions import spelling, stemming, text
 from quernstone.functions.stemming import english, stem, stem_of, stemmed
 
 STEMS = {
@@ -131,3 +131,11 @@ def test_score(spark):
     df = spark.createDataFrame([(10, 0), (10, 1), (10, 255), (10, 256)], "d long, r long")
     got = [r[0] for r in df.select(spelling.score_of(F.col("d"), F.col("r"))).collect()]
     assert got == [spelling.score(10, r) for r in (0, 1, 255, 256)] == [42, 41, 34, 33]
+
+
+def test_german_stems():
+    """Pairs from the sample vocabulary that the stemmer's authors publish."""
+    pairs = "aufeinander aufeinand, aufeinanderfolge aufeinanderfolg, aufeinanderfolgen aufeinanderfolg, aufeinanderschlügen aufeinanderschlug, kategorie kategori, kategorien kategori, kategorisch kategor, kategorische kategor, kater kat, kauf kauf, kaufe kauf, kaufen kauf, käufer kauf, kaum kaum, kehrte kehrt, häuser haus, freundlichkeit freundlich, bauen bau"
+    for a, b in (p.split() for p in pairs.split(", ")):
+        assert stemming.german(a) == b, a
+    assert stemming.stem("käufer", ("german",)) == "kauf" and stemming.stem("running", ("english", "german")) == "run"
