@@ -24,6 +24,7 @@ EPOCH = 1_704_067_200_000_000_000
 SHARDS = 5
 SYNONYMS = [("articles", ["the", "that", "haha"]), ("places", ["in", "on"]), ("unused", ["zzz", "yyy"])]
 _made: dict[tuple[str, str], ix.Index] = {}
+_words: dict[tuple[str, str], DataFrame] = {}
 
 
 def query(f: Query) -> Query:
@@ -54,6 +55,15 @@ def index_of(spark: SparkSession, sf_dir: str) -> ix.Index:
     return _made[key]
 
 
+def dictionary_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index's spelling dictionary, made once and kept."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = f"{shared_dir(spark).rstrip('/')}/words-{abs(hash(key)):x}"
+    if key not in _words:
+        _words[key] = spell.save_dictionary(spell.dictionary(index_of(spark, sf_dir).vocabulary()), path)
+    return _words[key]
+
+
 def updates_of(events: DataFrame) -> DataFrame:
     return events.select(F.lit("ev").alias("space"), F.col("user_id").cast("string").alias("doc_id"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("updated"), F.col("event_type").alias("title"), F.col("props").alias("txt"), (F.col("event_type") != "error").alias("alive"))
 
@@ -241,7 +251,7 @@ def search_respelt(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.plans import parse
 
     index = index_of(spark, sf_dir)
-    words = spell.dictionary(index.vocabulary())
+    words = dictionary_of(spark, sf_dir)
     fixed, distance, changed = spell.corrected(index, words, parse.parse("thhatq"))
     found = plan.search(index, fixed, None, limit=1, snippet=None).agg(F.coalesce(F.max("total"), F.lit(0)).alias("total"))
     return found.select(F.lit(" ".join(map(str, fixed))).alias("respelt"), F.lit(distance).alias("distance"), F.lit(changed).alias("changed"), "total")
@@ -340,13 +350,13 @@ SQL["spelling_lag"] = f"with {POSTINGS}, w as (select count(*) as vocab_words, c
 
 @query
 def spelling_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spell.similar(spell.dictionary(index_of(spark, sf_dir).vocabulary()), ["thhat", "wiht", "étionn"])
+    return spell.similar(dictionary_of(spark, sf_dir), ["thhat", "wiht", "étionn"])
 
 
 @query
 def fuzzy_levenshtein_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of the dictionary's ASCII words with the same first three letters and a plain edit distance of one."""
-    words = spell.dictionary(index_of(spark, sf_dir).vocabulary()).where("word = k1").select("word", F.substring("word", 1, 3).alias("block"))
+    words = dictionary_of(spark, sf_dir).where("word = k1").select("word", F.substring("word", 1, 3).alias("block"))
     other = words.select(F.col("word").alias("similar"), "block")
     return words.join(other, "block").where("word < similar").where(F.levenshtein("word", "similar", 1) == 1).select("word", "similar")
 
