@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import U64, by_bytes, mix, text_of, text_pieces, tidily
+from quernstone.llm.common import U64, by_bytes, mix, text_of, text_pieces, tidily, tidy
 from quernstone.session import table
 
 TRAIN_ROWS = 4000
@@ -143,20 +143,18 @@ def train_words(texts: Iterable[Mapping[str, int]], labels: list[int], seed: int
         return Model(None, float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
-    docs, draws = [], []  # words as candidates for the worst, and each text's words with the odds of drawing them
-    for counts in texts:
-        own, n = np.fromiter((vocab.setdefault(w, len(vocab)) for w in counts), np.int32), np.fromiter(counts.values(), float)
-        docs.append(np.repeat(own, np.minimum(n, WORST).astype(int)))
-        draws.append((own, n / n.sum(), int(n.sum())))
+    docs = [(np.fromiter((vocab.setdefault(w, len(vocab)) for w in counts), np.int32), np.fromiter(counts.values(), np.int32)) for counts in texts]
+    del texts
     ids, starts = grams(list(vocab))
     n_words = len(vocab)
     del vocab
+    tidy()
     n_grams = np.diff(np.append(starts, len(ids)))
     emb = rng.normal(0, 0.02, (1 << BITS, DIM)).astype(np.float32)
     soft = rng.normal(0, 1.0, (2, DIM)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     ge, gs, gb = np.full(1 << BITS, 1e-2, np.float32), np.full((2, DIM), 1e-2, np.float32), np.full(2, 1e-2, np.float32)
-    able = np.array([i for i, d in enumerate(docs) if len(d)], int)
+    able = np.array([i for i, (own, _) in enumerate(docs) if len(own)], int)
     epochs = max(2, -(-STEPS * 64 // max(1, len(able))))
     for epoch in range(epochs):
         order = rng.permutation(able)
@@ -164,14 +162,15 @@ def train_words(texts: Iterable[Mapping[str, int]], labels: list[int], seed: int
             batch = order[lo : lo + 64]
             if epoch:
                 value = emb @ (soft[1] - soft[0])
-                used = np.unique(np.concatenate([docs[i] for i in batch]))
+                used = np.unique(np.concatenate([docs[i][0] for i in batch]))
                 flat = _ranges(starts[used], n_grams[used])
                 z = np.zeros(n_words)
                 z[used] = np.add.reduceat(value[ids[flat]], np.cumsum(n_grams[used]) - n_grams[used]) / n_grams[used]
             chosen, left = [], 1 - (epoch * len(order) + lo) / (epochs * len(order))
             for i in batch:
-                d, (own, odds, n) = docs[i], draws[i]
-                chosen.append(d[np.argpartition(-z[d], min(len(d), WORST) - 1)[:WORST]] if epoch else rng.choice(own, min(n, 6 * WORST), p=odds))
+                own, n = docs[i]
+                d = np.repeat(own, np.minimum(n, WORST))  # candidates for the worst
+                chosen.append(d[np.argpartition(-z[d], min(len(d), WORST) - 1)[:WORST]] if epoch else rng.choice(own, min(int(n.sum()), 6 * WORST), p=n / n.sum()))
             words = np.concatenate(chosen)
             whose = np.repeat(np.arange(len(chosen)), [len(r) for r in chosen])
             size = np.bincount(whose)
@@ -199,7 +198,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, hi, texts in text_pieces(b.column(2), 1 << 20):
             found = [examples(t) for t in texts]
-            words, counts = (pa.array(map(list, x), pa.list_(t)) for x, t in ((found, pa.string()), ([f.values() for f in found], pa.int64())))
+            words, counts = (pa.array(map(list, x), pa.list_(t)) for x, t in ((found, pa.string()), ([f.values() for f in found], pa.int32())))
             yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), words, counts], ["doc_id", "y", "words", "counts"])
 
 
@@ -215,9 +214,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     ids = docs.sparkSession.createDataFrame([(int(r["doc_id"]), r["y"]) for r in picked], "__id long, y int")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     one = plain.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    got = one.mapInArrow(_examples, "doc_id long, y int, words array<string>, counts array<long>").toArrow().sort_by("doc_id")
-    words, counts = got.column("words"), got.column("counts")
-    return train_words((dict(zip(words[i].as_py(), counts[i].as_py())) for i in range(len(words))), got.column("y").to_pylist())
+    got = [one.mapInArrow(_examples, "doc_id long, y int, words array<string>, counts array<int>").toArrow().sort_by("doc_id")]
+    y = got[0].column("y").to_pylist()
+    return train_words(_taken(got.pop()), y)  # no name holds the table once its words are numbers
+
+
+def _taken(rows: pa.Table) -> Iterator[dict[str, int]]:
+    words, counts = rows.column("words"), rows.column("counts")
+    for i in range(len(words)):
+        yield dict(zip(words[i].as_py(), counts[i].as_py()))
 
 
 @tidily
