@@ -44,7 +44,7 @@ def write_documents(docs: DataFrame, path: str, mode: str = "overwrite", codec:
     """Documents by space. The file codec compresses texts; `packed` also stores each as a compressed blob of its own."""
     docs = docs.withColumn("txt", compress_of("txt")) if packed else docs
     docs.write.mode(mode).option("compression", codec).partitionBy("space").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path)  # else a space such as 01 would come back as a number
 
 
 def read_packed(docs: DataFrame) -> DataFrame:
