@@ -3,8 +3,8 @@
 Documents: space, doc_id (string), id (long, in the order of writing), updated (nanoseconds), title, txt, alive. Documents that aren't
 alive have empty title and text, and count among all documents.
 
-A saved index holds postings sorted by term, so a search reads the row groups of its terms only. A posting repeats what a search needs to know of its
-document (length, space, alive; they cost next to nothing in columns sorted like this), so matching and ranking read and shuffle postings alone.
+A saved index holds postings in blocks sorted by term (operators/blocks.py), so a search reads the row groups of its terms only. A posting repeats what a
+search needs to know of its document (length, space, alive), so matching and ranking read and shuffle postings alone.
 Documents and texts are sorted by id and read for the ids of the page that is shown. The numbers of all documents are kept beside them."""
 
 from __future__ import annotations
@@ -17,9 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import stemming, text
-from quernstone.session import delete
+from quernstone.operators import blocks
+from quernstone.session import cut, delete
 
 TITLE, BODY = 0, 1
+#: Terms that are broadcast at most; more are joined by a shuffle.
+BROADCAST_TERMS = 100_000
 
 
 @dataclass(frozen=True)
@@ -50,6 +53,20 @@ class Analyser:
     def tokens(self, c: Column) -> Column:
         return text.tokens(c, *self.settings)
 
+    def finisher(self) -> blocks.Finish | None:
+        """What finish() does, for a list of terms on a worker."""
+        if not self.diacritics and not self.languages:
+            return None
+        chain = tuple((n, stemming.STEMMERS[n]) for n in self.languages)
+
+        def run(terms: list[str]) -> list[str]:
+            for n, f in chain:
+                stemming.STEMMERS.setdefault(n, f)
+            found = [text.fold(t) for t in terms] if self.diacritics else terms
+            return [stemming.stem(t, self.languages) for t in found] if self.languages else found
+
+        return run
+
     def finish(self, rows: DataFrame) -> DataFrame:
         """Folds and stems the terms of rows; each distinct term once."""
         if not self.diacritics and not self.languages:
@@ -74,6 +91,7 @@ class Index:
     kept_totals: tuple[int, float] | None = None
     kept_vocabulary: DataFrame | None = None  # term, doc, cnt, sorted by term
     tokenised: DataFrame | None = None  # the documents with their tokens (tt, tb), of which an index that isn't saved is a plan
+    kept_blocks: DataFrame | None = None  # of a saved index, what postings are read from
 
     @staticmethod
     def of(docs: DataFrame, analyser: Analyser | None = None) -> Index:
@@ -99,14 +117,18 @@ class Index:
         if self.tokenised is not None:
             self.tokenised.select("id", "space", "doc_id", "updated", "alive", "title", "tt", "tb").write.mode("overwrite").parquet(f"{path}/tokens")
             source = Index._of(spark.read.parquet(f"{path}/tokens"), self.texts, self.analyser)
-        for name, part in (("docs", source.docs), ("texts", source.texts)):
-            part.repartitionByRange(n, "id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/{name}")
-        source.postings.repartitionByRange(n, "term", "id").sortWithinPartitions("term", "id", "col", "off").write.mode("overwrite").parquet(f"{path}/postings")
+        source.docs.repartitionByRange(n, "id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/docs")
+        n_tokens = spark.read.parquet(f"{path}/docs").agg(F.sum("n_tokens")).first()[0] or 0
+        n = max(n, -(-n_tokens // blocks.RANGE_TOKENS))  # so that what one task sorts doesn't grow with the documents
+        source.texts.repartitionByRange(n, "id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/texts")
         if source is not self:
+            blocks.write(source.tokenised, self.analyser.finisher(), n_tokens, n, f"{path}/postings")
             delete(spark, f"{path}/tokens")
+        else:
+            blocks.of_rows(self.postings).repartitionByRange(n, "term", "ids").sortWithinPartitions("term", "ids").write.mode("overwrite").parquet(f"{path}/postings")
         write_state(spark, path, self.analyser)
         made = Index.open(spark, path, self.analyser)
-        vocabulary = Index(made.docs, made.postings, made.texts).vocabulary()
+        vocabulary = made.vocabulary()
         vocabulary.repartitionByRange(n, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
         made.kept_vocabulary = spark.read.parquet(f"{path}/vocabulary")
         spark.createDataFrame([made.totals()], "n_docs long, avgdl double").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
@@ -120,7 +142,10 @@ class Index:
             if not force:
                 raise ValueError(f"the index was made with {kept}, not {analyser}")
             write_state(spark, path, analyser)
-        made = Index(*(spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "texts")), analyser or kept or Analyser())
+        docs, postings, texts = (spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "texts"))
+        made = Index(docs, postings, texts, analyser or kept or Analyser())
+        if "ids" in postings.columns:  # else a row for each occurrence, as earlier versions saved them
+            made.postings, made.kept_blocks = blocks.rows_of(postings), postings
         try:
             totals = tuple(spark.read.parquet(f"{path}/totals").first())
             made.kept_vocabulary, made.kept_totals = spark.read.parquet(f"{path}/vocabulary"), totals
@@ -141,6 +166,8 @@ class Index:
         """term, doc (documents with it), cnt (occurrences). A saved index has it ready."""
         if self.kept_vocabulary is not None:
             return self.kept_vocabulary
+        if self.kept_blocks is not None:
+            return self.kept_blocks.groupBy("term").agg(F.sum("doc").alias("doc"), F.sum("cnt").alias("cnt"))
         per_doc = self.postings.groupBy("term", "id").agg(F.count("*").alias("n"))
         return per_doc.groupBy("term").agg(F.count("*").alias("doc"), F.sum("n").alias("cnt"))
 
