@@ -183,11 +183,30 @@ class Index:
         return self.vocabulary().orderBy(F.desc("cnt"), "term").limit(n)
 
     def check(self) -> DataFrame:
-        """Postings that are missing (side = missing) or too many (side = extra) against the texts: empty for a sound index."""
-        fresh = Index.of(self.docs.join(self.texts, "id"), self.analyser).postings.select("id", "col", "off", "term")
-        kept = self.postings.select("id", "col", "off", "term")
+        """Postings that are missing (side = missing) or too many (side = extra) against the texts: empty for a sound index. Occurrences are first
+        compared by a number and two digests for each term, added up before they are shuffled; those of terms that differ are then compared one by one."""
+        columns = ["id", "col", "off", "term"]
+        fresh, kept = self._fresh().select(*columns), self.postings.select(*columns)
+        digest = F.xxhash64(*columns)
+        signed = [rows.select("term", F.lit(n).alias("n"), digest.alias("x"), (F.shiftright(digest, 36) * n).alias("s")) for rows, n in ((fresh, 1), (kept, -1))]
+        sums = signed[0].unionByName(signed[1]).groupBy("term").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.sum("s").alias("s"))
+        differ = cut(sums.where("n <> 0 or x <> 0 or s <> 0").select("term"))
+        some = F.broadcast(differ) if differ.count() <= BROADCAST_TERMS else differ
+        fresh, kept = (rows.join(some, "term", "left_semi").select(*columns) for rows in (fresh, kept))
         return fresh.exceptAll(kept).withColumn("side", F.lit("missing")).unionByName(kept.exceptAll(fresh).withColumn("side", F.lit("extra")))
 
+    def _fresh(self) -> DataFrame:
+        """Occurrences by the texts. Where each document has one text, and the deleted have an empty one, texts needn't meet their documents."""
+        docs = self.docs.select("id", F.lit(1).alias("d"), F.lit(0).alias("t"), (~F.col("alive")).cast("int").alias("bad"))
+        texts = self.texts.select("id", F.lit(0).alias("d"), F.lit(1).alias("t"), (F.coalesce(F.octet_length("txt"), F.lit(0)) > 0).cast("int").alias("bad"))
+        both = docs.unionByName(texts).groupBy("id").agg(F.sum("d").alias("d"), F.sum("t").alias("t"), F.sum("bad").alias("bad"))
+        if not both.where("d <> 1 or t <> 1 or bad > 1").isEmpty():
+            return self.rebuild().postings
+        title = F.when(F.col("alive"), F.coalesce("title", F.lit(""))).otherwise("")
+        sides = [(TITLE, self.docs.select("id", title.alias("x"))), (BODY, self.texts.select("id", F.coalesce("txt", F.lit("")).alias("x")))]
+        each = [rows.select("id", F.lit(k).alias("col"), F.posexplode(self.analyser.tokens(F.col("x"))).alias("off", "term")) for k, rows in sides]
+        return self.analyser.finish(each[0].unionByName(each[1]))
+
     def rebuild(self) -> Index:
         return Index.of(self.docs.join(self.texts, "id"), self.analyser)
 
